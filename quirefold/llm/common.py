@@ -58,6 +58,13 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let Arrow batches of whole texts hold at most ``rows`` rows, so that a batch of long texts fits a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def numbered(df: DataFrame, order: list[str], rows: int, name: str = "row_no") -> tuple[DataFrame, int]:
     """Append a gapless 0-based row number in the order of ``order``, without a single-task window.
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import phrase_index, sharding
+from . import byte_postings, phrase_index, piece_agenda, risk_rules, sharding
 from .common import table
 
 
@@ -51,5 +52,27 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination}
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_agenda.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = risk_rules.judged(docs, table(spark, sf_dir, "labels"), ["doc_id"])
+    return found.select("doc_id", *[F.col("_m")[k].alias(k) for k in risk_rules.MEASURES], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = byte_postings.near_duplicates(docs)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_decontamination": op2_decontamination,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_simhash": op10_simhash,
+}
 ORACLES = {"op2_decontamination": OP2_SQL}
