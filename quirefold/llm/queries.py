@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_postings, phrase_index, piece_agenda, risk_rules, sharding
+from . import byte_postings, license_join, phrase_index, piece_agenda, risk_rules, sharding, token_sst
 from .common import table
 
 
@@ -52,6 +52,16 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+def op4_token_sst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = token_sst.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_sst.read_digests(spark, manifest)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_join.scanned(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_agenda.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -71,8 +81,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
+    "op4_token_sst": op4_token_sst,
+    "op5_license_scan": op5_license_scan,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
-ORACLES = {"op2_decontamination": OP2_SQL}
+ORACLES = {"op2_decontamination": OP2_SQL, "op5_license_scan": license_join.oracle_sql()}
