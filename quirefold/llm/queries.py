@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_postings, license_join, phrase_index, piece_agenda, risk_rules, sharding, token_sst
+from . import byte_postings, license_join, phrase_index, piece_agenda, risk_rules, rule_ensemble, sharding, token_sst, warc_bundle
 from .common import table
 
 
@@ -52,6 +52,17 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = rule_ensemble.scored(docs, table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id",
+        rule_ensemble.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op4_token_sst(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     manifest = token_sst.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -62,6 +73,20 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scanned(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_bundle.read_bundles(warc_bundle.write_bundles(table(spark, sf_dir, "pages")))
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+m AS (SELECT page_id, html, n, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top <> page_id THEN top END AS refers_to
+FROM m
+"""
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_agenda.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -81,10 +106,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_token_sst": op4_token_sst,
     "op5_license_scan": op5_license_scan,
+    "op7_warc": op7_warc,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
-ORACLES = {"op2_decontamination": OP2_SQL, "op5_license_scan": license_join.oracle_sql()}
+ORACLES = {
+    "op2_decontamination": OP2_SQL,
+    "op5_license_scan": license_join.oracle_sql(),
+    "op7_warc": OP7_SQL,
+}
