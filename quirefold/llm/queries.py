@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_postings, license_join, phrase_index, piece_agenda, risk_rules, rule_ensemble, sharding, token_sst, warc_bundle
+from . import byte_postings, license_join, phrase_index, piece_agenda, risk_rules, rule_ensemble, sharding, token_sst, tool_links, warc_bundle
 from .common import table
 
 
@@ -73,6 +73,17 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scanned(table(spark, sf_dir, "documents"))
 
 
+#: Functions that calls in the conversations may use; a call of any other is reported as not valid.
+TOOL_SCHEMAS = {
+    "search": {"type": "object", "required": ["query"], "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1}}},
+    "calculate": {"type": "object", "required": ["expression"], "properties": {"expression": {"type": "string"}}, "additionalProperties": False},
+}
+
+
+def op6_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_links.linked_messages(table(spark, sf_dir, "conversations"), TOOL_SCHEMAS)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundle.read_bundles(warc_bundle.write_bundles(table(spark, sf_dir, "pages")))
 
@@ -109,6 +120,7 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_token_sst": op4_token_sst,
     "op5_license_scan": op5_license_scan,
+    "op6_tool_links": op6_tool_links,
     "op7_warc": op7_warc,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
