@@ -46,6 +46,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns an operator needs, beside all columns of ``docs`` in ``_doc``, where their names can't clash."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    return docs.select(whole, *needed)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. Texts that are plain ASCII take the short way."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(

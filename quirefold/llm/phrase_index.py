@@ -151,3 +151,8 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         .withColumn("contaminated", (n_hit > 0) & (20 * n_hit >= n_words))
         .drop("_key", "_cands", "_w", "_hits", "_ids")
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with the columns of ``docs``."""
+    return contamination(common.packed(docs, "doc_id", "text"), items).where(~F.col("contaminated")).select("_doc.*")

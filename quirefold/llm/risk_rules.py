@@ -233,4 +233,4 @@ def judged(docs: DataFrame, labels: DataFrame, carry: list[str], key: str = "doc
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with the columns of ``docs``."""
-    return judged(docs, labels, docs.columns).where("_kept").select(*docs.columns)
+    return judged(common.packed(docs, "doc_id", "lang", "text"), labels, ["_doc"]).where("_kept").select("_doc.*")

@@ -217,4 +217,4 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` with a score of one half or more, with the columns of ``docs``."""
-    return scored(docs, labels).where(F.col("_score") >= 0.5).select(*docs.columns)
+    return scored(common.packed(docs, "doc_id", "text"), labels).where(F.col("_score") >= 0.5).select("_doc.*")
