@@ -169,6 +169,11 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         "stem STRING, source STRING",
         [("01_The old mill", "note"), ("the old mill.txt", "file"), ("river and bridges", "note"), ("river and bridge.pdf", "file"), ("unknown thing", "note"), ("chapel bells.txt", "file")],
     ),
+    "book_pages": (
+        "book STRING, page INT, text STRING",
+        [("mill", p, f"The Old Mill by the River {10 + p}\nline {chr(97 + p)} of the page\n\nmore words {chr(107 + p)}\n{'Printed in the valley' if p % 2 else 'Mill Press'} {p}") for p in range(7)]
+        + [("road", p, f"Road {p}") for p in range(2)],
+    ),
     "reflow_lines": (
         "doc_id INT, pos INT, line STRING",
         [
