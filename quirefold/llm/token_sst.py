@@ -40,10 +40,12 @@ FOOTER = struct.Struct("<QQQQQQII8s")
 BLOCK_BYTES = 256 * 1024
 BLOOM_BITS = 10
 BLOOM_HASHES = 7
-#: Bytes of input files that one shard takes.
-SHARD_BYTES = 16 << 20
-#: Remembered words in one worker process; the table is emptied when it is full.
-MEMORY = 300_000
+#: Bytes of text that one shard takes.
+SHARD_BYTES = 64 << 20
+#: Remembered pieces in one worker process; the table is emptied when it is full.
+MEMORY = 600_000
+#: New pieces that the library encodes in one text.
+TOGETHER = 50
 SLICE_CHARS = 1_000_000
 
 
@@ -172,47 +174,70 @@ class Shard:
 
 
 class WordEncoder:
-    """Encodes texts with the tokenizers library, each distinct word once.
+    """Encodes texts with the tokenizers library, each distinct piece once.
 
     For this vocabulary the library turns white space into spaces, lower-cases, and cuts at every space and between
     letters, digits and signs before it merges, so ids of a text are the ids of its pieces in a row. Pieces are cut
-    here only where the text is printable ASCII or Latin-1 letters; every other stretch goes to the library whole.
+    here only in printable ASCII and Latin-1 letters; a stretch with anything else goes to the library whole. New
+    pieces go to the library many at a time, with spaces between them: the last id of each piece is a word end.
     """
 
-    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
-    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+    PLAIN_TEXT = re.compile(r"[ \n!-~À-ÖØ-öø-ÿ]*\Z")
+    PIECES = re.compile(r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
     def __init__(self, tokenizer_file: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        size = max(self.tokenizer.get_vocab_size(), end_id + 1)
+        self.width = 2 if size <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.end = np.array([end_id], self.kind).tobytes()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
+        self.word_end = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.word_end[i] = token.endswith("</w>")
         self.pieces: dict[str, bytes] = {}
+        self.stretches: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), 1000 * TOGETHER):
+            part = pieces[at : at + 1000 * TOGETHER]
+            lines = [" ".join(part[i : i + TOGETHER]) for i in range(0, len(part), TOGETHER)]
+            ids = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], self.kind)
+            ends = (np.flatnonzero(self.word_end[ids]) + 1) * self.width
+            if len(ends) != len(part):
+                raise ValueError("a piece is not one word of this vocabulary")
+            raw = ids.tobytes()
+            self.pieces.update(zip(part, [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]))
+
+    def _cut(self, text: str) -> list[str] | None:
+        """The pieces of a text of plain characters; None for any other."""
+        if self.PLAIN_TEXT.match(text) and not any(s in text for s in self.specials):
+            return self.PIECES.findall(text.lower())
+        return None
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _mixed(self, text: str) -> bytes:
+        """A text with other characters, stretch by stretch."""
+        words = text.replace("\n", " ").split(" ")
+        self.stretches.update(zip(new := list({w for w in words if w not in self.stretches}), self._whole(new)))
+        out = b"".join([self.stretches[w] for w in words])
+        if len(self.stretches) > MEMORY // 4:
+            self.stretches.clear()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text with the end id, as little-endian integers."""
-        if len(self.words) > MEMORY:
-            self.words.clear()
         if len(self.pieces) > MEMORY:
             self.pieces.clear()
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        words, pieces = self.words, self.pieces
-        new = {w for ws in cut for w in ws if w not in words}
-        parts = {
-            w: self.PIECES.findall(w.lower()) if self.PLAIN.match(w) and not any(s in w for s in self.specials) else [w] for w in new
-        }
-        fresh = list({p for ps in parts.values() for p in ps if p not in pieces})
-        pieces.update(zip(fresh, self._ids(fresh)))
-        for w, ps in parts.items():
-            words[w] = b"".join([pieces[p] for p in ps])
-        return [b"".join([words[w] for w in ws]) + self.end for ws in cut]
+        cut = [self._cut(t) for t in texts]
+        pieces = self.pieces
+        if new := set().union(*filter(None, cut)).difference(pieces):
+            self._learn(list(new))
+        return [(self._mixed(t) if ps is None else b"".join(map(pieces.__getitem__, ps))) + self.end for t, ps in zip(texts, cut)]
 
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
@@ -285,16 +310,13 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, key: str = "
     common.small_batches(spark)
     folder = common.fresh_path(spark, "sst")
     narrow = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    shards = max(1, math.ceil(_input_bytes(docs) / SHARD_BYTES))
+    size = narrow.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    shards = max(1, math.ceil(size / SHARD_BYTES))
     # the range bounds are drawn by key alone, so all rows of one key share a shard
     ordered = narrow.repartitionByRange(shards, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
     return common.stored(ordered.mapInArrow(_write_shard(folder, tokenizer_file, end_id), MANIFEST), "sst-manifest")
 
 
-def _input_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def _read_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
