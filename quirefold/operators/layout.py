@@ -97,7 +97,7 @@ def reading_order(glyphs: list[tuple]) -> str:
 def pages_in_reading_order(glyphs: DataFrame) -> DataFrame:
     """(page, text) from glyph rows (page, idx, ch, x0, y, x1)."""
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         rows = list(group.sort_values("idx")[_COLUMNS].itertuples(index=False, name=None))
         return pd.DataFrame({"page": [key[0]], "text": [reading_order(rows)]})
 

@@ -115,7 +115,7 @@ def pages_reflowed(pages: DataFrame, lexicon: list[str]) -> DataFrame:
     One group is one book. Non-space characters are kept but for line-end hyphens.
     """
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("page")
         split = [[x.strip() for x in (t or "").split("\n") if x.strip()] for t in group["text"]]
         done = _join_pages(split, set(lexicon)) if split else []

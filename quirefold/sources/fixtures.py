@@ -169,6 +169,64 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         "stem STRING, source STRING",
         [("01_The old mill", "note"), ("the old mill.txt", "file"), ("river and bridges", "note"), ("river and bridge.pdf", "file"), ("unknown thing", "note"), ("chapel bells.txt", "file")],
     ),
+    "vault_notes": (
+        "note_id INT, text STRING",
+        [
+            (1, '---\ntitle: "River"\nsource: a.pdf\nmodel: x\n---\n\nBody one'),
+            (2, "---\nbook: b\npublished: 1999\n---\nBody two"),
+            (3, "No front matter"),
+            (4, "---\nopen: 1\nnever closed"),
+            (5, "---\nsource: c\n---\n"),
+        ],
+    ),
+    "bilingual_files": (
+        "stem STRING, path STRING, rank INT, text STRING",
+        [
+            ("a", "x/a.txt", 1, "[EN]\nThe mill\n\n[KO]\n물레방아\n\n---\n\nThe river\n\n강\n\n---\n\n[EN]\nAlone"),
+            ("a", "y/a.txt", 2, "The river\n\n큰 강\n\n---\n\nThe bridge\n\n다리\n\n---\n\nThe road\n\n길"),
+            ("b", "x/b.txt", 1, "just one part"),
+        ],
+    ),
+    "page_replies": (
+        "call_id INT, first INT, last INT, reply STRING",
+        [(1, 3, 6, "<<<PAGE 3>>>\nthree\n<<<PAGE 5>>>\nfive\nmore\n<<<PAGE 6>>>\n"), (2, 7, 8, "no marks at all"), (3, 9, 9, "<<<PAGE 9>>> nine")],
+    ),
+    "log_lines": (
+        "pos INT, line STRING",
+        [(1, "start"), (2, "Error: disk full"), (3, "retry after error"), (4, "done, 0 errors"), (5, "Traceback (most recent call last)"), (6, "오류 발생"), (7, "failed to open")],
+    ),
+    "small_strings": (
+        "sid INT, text STRING",
+        [
+            (1, "word.³⁹ and 10² m"), (2, "200-203, 250, x, 7-5"), (3, "arXiv:2101.01234v2"), (4, "doi:10.1234/abc"), (5, "https://example.org/p.pdf"), (6, "D:20210309120000Z"),
+            (7, "Tue Mar  9 12:00:00 2021"), (8, "made in 1998"), (9, 'reply: ```{"a": 1}```'), (10, "a<b & \"c\""), (11, "The_Old Mill_Jane Miller"), (12, "“quoted (p. 3) text”"), (13, ""),
+            (14, "429 Too many requests"), (15, "invalid API key"), (16, "connection reset"),
+        ],
+    ),
+    "contents": (
+        "book STRING, page INT, text STRING",
+        [("a", 0, "Title"), ("a", 1, "CONTENTS\nOne .... 3\nTwo .... 9"), ("a", 2, "Three ... 12\nFour ... 15\nFive ... 18\nSix ... 22"), ("a", 3, "Seven ... 30\nEight ... 31\nNine ... 32\nTen ... 33"), ("a", 4, "Text of the book"), ("a", 5, "A ... 1\nB ... 2\nC ... 3\nD ... 4")]
+        + [("b", p, t) for p, t in enumerate(["Head", "A ... 1\nB ... 2\nC ... 3\nD ... 4", "text 12", "E ... 1\nF ... 2\nG ... 3\nH ... 4"])]
+        + [("c", p, ("words " * 80) if p % 6 else "part") for p in range(30)],
+    ),
+    "chapter_lines": (
+        "book STRING, chapter INT, pos INT, line STRING",
+        [
+            ("a", 1, 0, "Introduction"), ("a", 1, 1, ""), ("a", 1, 2, "text"), ("a", 1, 3, ""), ("a", 1, 4, "Conclusion"), ("a", 1, 5, ""), ("a", 1, 6, "text"),
+            ("a", 2, 0, "x"), ("a", 2, 1, ""), ("a", 2, 2, "Conclusion"), ("a", 2, 3, ""), ("a", 2, 4, "References"), ("a", 2, 5, "no blank line around"),
+            ("b", 1, 0, "x"), ("b", 1, 1, ""), ("b", 1, 2, "Abstract"), ("b", 1, 3, ""), ("b", 2, 0, ""), ("b", 2, 1, "Abstract"), ("b", 2, 2, ""), ("b", 3, 0, ""), ("b", 3, 1, "Abstract"), ("b", 3, 2, ""),
+        ],
+    ),
+    "header_lines": (
+        "book STRING, line STRING",
+        [("a", f"{n} The Old Mill") for n in (12, 14, 16)] + [("a", "12 The River"), ("a", "14 The River"), ("b", "3 The Bridge"), ("b", "3 The Bridge"), ("b", "3 The Bridge"), ("a", "18 The Old Mill, pp. 3")],
+    ),
+    "header_titles": ("book STRING, title STRING", [("a", "The Old Mill_The River"), ("b", "The Bridge")]),
+    "marked_bodies": (
+        "book STRING, chapter INT, body STRING",
+        [("a", 1, "One.3 Two[^4] three,5 four.3"), ("a", 2, "Five.5 six.33"), ("b", 1, "no numbers")],
+    ),
+    "note_definitions": ("book STRING, id STRING", [("a", "3"), ("a", "4"), ("a", "5"), ("a", "6"), ("b", "1")]),
     "book_pages": (
         "book STRING, page INT, text STRING",
         [("mill", p, f"The Old Mill by the River {10 + p}\nline {chr(97 + p)} of the page\n\nmore words {chr(107 + p)}\n{'Printed in the valley' if p % 2 else 'Mill Press'} {p}") for p in range(7)]
