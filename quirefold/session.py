@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Settings that change results, not only speed.
@@ -29,3 +32,24 @@ def local_session(cores: int | str = "*", memory: str = "6g", name: str = "quire
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only where that is unset, and Spark runs on one machine as in tests, a temporary folder takes its place.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return shared.rstrip("/")
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not current.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quirefold-"))
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return current.get().rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"

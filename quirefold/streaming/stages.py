@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.session import fresh_path
+
 
 def as_queue_events(events: DataFrame) -> DataFrame:
     """The event log read as queue operations: errors remove, rare signups clear a stage, all else adds."""
@@ -35,14 +34,9 @@ def windowed_counts(events: DataFrame, late: str = "1 hour", size: str = "1 day"
     return counted.select(F.col("w.start").alias("window_start"), "event_type", "n")
 
 
-def _checkpoint(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="quirefold-stream-")
-
-
 def run_to_end(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """Run over all that is available and return the result table."""
-    path = _checkpoint(spark)
+    path = fresh_path(spark, "stream")
     if mode == "append":
         out = f"{path}-out"
         stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", path).trigger(availableNow=True).start(out).awaitTermination()
