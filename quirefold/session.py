@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -53,3 +57,22 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors of this application, once, so that Python functions find it there."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(f"{root.name}/{path.relative_to(root).as_posix()}"), path.read_bytes())
+    name = f"{root.name}-{hashlib.sha1(packed.getvalue()).hexdigest()[:12]}.zip"
+    path = Path(tempfile.mkdtemp(prefix="quirefold-")) / name  # on the driver, which serves it
+    path.write_bytes(packed.getvalue())
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(app)
