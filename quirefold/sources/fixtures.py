@@ -169,6 +169,27 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         "stem STRING, source STRING",
         [("01_The old mill", "note"), ("the old mill.txt", "file"), ("river and bridges", "note"), ("river and bridge.pdf", "file"), ("unknown thing", "note"), ("chapel bells.txt", "file")],
     ),
+    "text_rows": (
+        "page INT, y DOUBLE",
+        [(1, y) for y in [20.0, 80.0, 92.0, 104.0, 116.0, 180.0, 205.0, 230.0, 255.0, 280.0, 305.0]] + [(2, 50.0 + 25.0 * i) for i in range(12)] + [(3, y) for y in [500.0, 510.0, 520.0, 560.0, 600.0, 640.0, 680.0]],
+    ),
+    "bookmarks": (
+        "stem STRING, level INT, title STRING, page INT",
+        [("a", 1, "One", 3), ("a", 2, "Sub", 4), ("a", 1, "Two", 9), ("a", 1, "Three", 15), ("b", 1, "Only", 1), ("b", 2, "X", 2), ("c", 2, "P", 1), ("c", 2, "Q", 5), ("c", 3, "R", 6), ("c", 2, "S", 9)],
+    ),
+    "translated": (
+        "n INT, text STRING",
+        [(1, "그는 방앗간(mill)에서 큰 강(the river)을 보았다. 다리(Pons )"), (2, "물방아(mill)와 다리(bridge)"), (3, "no pair here (alone)")],
+    ),
+    "catalogue_replies": (
+        "rid INT, kind STRING, reply STRING",
+        [
+            (1, "work", '{"message": {"title": ["The  Old Mill"], "author": [{"given": "Jane", "family": "Miller"}, {"family": "Bridge"}], "issued": {"date-parts": [[2021, 3]]}, "publisher": " Mill Press "}}'),
+            (2, "work", '{"message": {}}'),
+            (3, "work", "not json"),
+            (4, "feed", '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>A\n  River</title><author><name>J. Miller</name></author><author><name>B. Ridge</name></author><published>2021-03-09T00:00:00Z</published></entry></feed>'),
+        ],
+    ),
     "vault_notes": (
         "note_id INT, text STRING",
         [
