@@ -37,7 +37,7 @@ def permuted(row_no: Column, n: int, seed: int) -> Column:
     """The place of ``row_no`` under the permutation of ``0 .. n-1`` that belongs to ``seed``."""
     a, b = sides(n)
     walks = min(WALKS, a * b - n) + 1
-    keys = F.array(*[F.lit(k) for k in round_keys(seed)])
+    keys = F.array(*[F.lit(k).cast("long") for k in round_keys(seed)])
 
     def turn(acc: Column, step: Column) -> Column:
         even = F.pmod(step, F.lit(2)) == 0
