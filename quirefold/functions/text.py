@@ -20,11 +20,19 @@ def compact(text: Column) -> Column:
 def filled_lines(text: Column) -> Column:
     """The stripped lines that are not blank."""
     stripped = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip)
-    return F.filter(stripped, lambda s: s != "")
+    return F.array_remove(stripped, "")
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")
+
+
+def runs(text: Column, chars: str) -> Column:
+    """The maximal runs of the characters ``chars`` (the inside of a class).
+
+    Splitting at all others is many times as fast as extracting, which copies the text for each match.
+    """
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[^{chars}]+"), "")
 
 
 # The same in the SQL dialect of the twins.

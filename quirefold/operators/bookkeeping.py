@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirefold.functions.text import compact, strip, tokens
+from quirefold.functions.text import compact, runs, strip, tokens
 from quirefold.operators.glossary import norm_key
 from quirefold.operators.language import even_places
 from quirefold.operators.queue import islands
@@ -107,7 +107,7 @@ def term_pairs(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 def leftover_words(text: Column) -> Column:
     """Latin words outside of parentheses."""
-    return F.size(F.regexp_extract_all(F.regexp_replace(text, r"\([^()]*\)", ""), F.lit("[A-Za-zÀ-ž]{2,}"), F.lit(0)))
+    return F.size(F.filter(runs(F.regexp_replace(text, r"\([^()]*\)", ""), "A-Za-zÀ-ž"), lambda w: F.length(w) >= 2))
 
 
 def clean_sentence(s: Column) -> Column:

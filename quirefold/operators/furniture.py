@@ -90,7 +90,8 @@ def running_heads(pages: DataFrame, book: str, text: str) -> DataFrame:
     Of the frequent groups those inside a longer frequent one go. Each group lists its own inner strings, and the
     lists meet the groups in an equi-join, so groups are never compared pair by pair.
     """
-    words = F.slice(tokens(F.col(text)), 1, HEAD_WORDS)
+    words = F.col("_w")
+    begun = pages.select(book, F.slice(tokens(F.col(text)), 1, HEAD_WORDS).alias("_w"))
 
     def grams(i: Column) -> Column:
         lengths = F.sequence(F.lit(1), F.least(F.lit(GRAM_WORDS), F.size(words) - i))
@@ -99,7 +100,7 @@ def running_heads(pages: DataFrame, book: str, text: str) -> DataFrame:
     every = F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - 1), grams))
     usable = F.array_distinct(F.filter(every, lambda g: (F.length(g) >= 4) & ~g.rlike("^[0-9]")))
     hits = (
-        pages.where(F.size(words) > 0)
+        begun.where(F.size(words) > 0)
         .select(book, F.explode(usable).alias("head"))
         .groupBy(book, "head")
         .agg(F.count("*").alias("n_pages"))

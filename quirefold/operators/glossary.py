@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.functions.text import strip
+from quirefold.functions.text import runs, strip
 
 KEYWORD_LINE = r"^#([^ \t]+)[ \t]+—[ \t]+(.+)$"
 
@@ -61,7 +61,7 @@ def unify_targets(pairs: DataFrame) -> DataFrame:
 
 def acronym(form: Column) -> Column:
     """First letters of a form of two or more words, else ''."""
-    words = F.regexp_extract_all(form, F.lit("[A-Za-zÀ-ÿ]+"), F.lit(0))
+    words = runs(form, "A-Za-zÀ-ÿ")
     return F.when(F.size(words) > 1, F.lower(F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), ""))).otherwise("")
 
 
@@ -89,7 +89,7 @@ def hints(texts: DataFrame, pairs: DataFrame, key: str, text: str, most: int = 2
     """(key, place, term, canonical): settled terms that stand in a text, the most frequent ``most`` of them."""
     g = groups(pairs)
     single = g.groupBy("term").agg(F.count("*").alias("k"), F.first("canonical").alias("canonical"), F.sum("n").alias("n")).where("k = 1")
-    words = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z가-힣]+"), F.lit(0)))).alias("term"))
+    words = texts.select(key, F.explode(F.array_distinct(runs(F.lower(text), "a-z가-힣"))).alias("term"))
     found = words.join(single.where(F.length("term") >= 2), "term")
     w = Window.partitionBy(key).orderBy(F.col("n").desc(), "term")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select(key, "place", "term", "canonical")

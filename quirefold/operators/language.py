@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import scripts
+from quirefold.functions.text import runs
 
 
 def with_language(df: DataFrame, text: str, out: str = "language", confidence: str | None = None) -> DataFrame:
@@ -18,7 +19,7 @@ def with_language(df: DataFrame, text: str, out: str = "language", confidence: s
     counts = {name: F.col("_counts")[name] for name in scripts.SCRIPTS}
     made = df.withColumn("_sample", sample)
     made = made.withColumn("_counts", F.struct(*[c.alias(n) for n, c in scripts.script_counts(F.col("_sample")).items()]))
-    made = made.withColumn("_words", F.regexp_extract_all(low, F.lit("[a-zà-ÿā-ž]+"), F.lit(0)))
+    made = made.withColumn("_words", runs(low, "a-zà-ÿā-ž"))
     enough = F.size("_words") >= scripts.LEAST_WORDS
     made = made.withColumn("_ranked", F.when(enough, F.sort_array(scripts.latin_scores(low, F.col("_words")), asc=False)))
     best = F.col("_ranked")[0]

@@ -35,7 +35,7 @@ def garble_rate(text: Column) -> Column:
     """Garbled places in 1,000 characters: for long texts the upper median over 40 equal blocks."""
     size = F.length(text)
     block = F.floor(size / BLOCKS).cast("int")
-    count = lambda t: F.size(F.regexp_extract_all(t, F.lit(GARBLED), F.lit(0)))
+    count = lambda t: F.size(F.split(t, GARBLED, -1)) - 1
     rates = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: count(F.substring(text, i * block + 1, block)) / block * 1000)
     whole = count(text) / F.greatest(size, F.lit(1)) * 1000
     return F.when(size < BLOCKS * BLOCK_LEAST, whole).otherwise(F.array_sort(rates)[BLOCKS // 2])
@@ -43,7 +43,7 @@ def garble_rate(text: Column) -> Column:
 
 def assessed(df: DataFrame, text: str) -> DataFrame:
     """Append verdict, word_loss, garble, one_syllable_pct, garble_per_1k and reasons (codes, in order)."""
-    count = lambda p: F.size(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)))
+    count = lambda p: F.size(F.split(F.col(text), p, -1)) - 1
     out = df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
     out = out.withColumn("_hangul", F.filter(tokens(F.col(text)), lambda t: t.rlike("^[가-힣]+$")))
     out = out.withColumn("_n", F.size("_hangul")).withColumn("_chars", F.length(text))

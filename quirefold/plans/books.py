@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.functions import bibliographic as bib
-from quirefold.functions.text import filled_lines_sql
+from quirefold.functions.text import runs
 from quirefold.operators import chapters, glossary, notes
 from quirefold.sources import fixtures
 from quirefold.sources.fixtures import cte
@@ -36,7 +36,8 @@ def glossary_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the documents as (term, form): the term is the word in lower case without hyphens."""
-    words = read(spark, sf_dir, "documents", ["text"]).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z-]{3,}"), F.lit(0))).alias("form"))
+    words = read(spark, sf_dir, "documents", ["text"]).select(F.explode(runs(F.col("text"), "A-Za-z-")).alias("run"))
+    words = words.select(F.regexp_replace("run", "^-+", "").alias("form")).where(F.length("form") >= 4)
     return words.select(glossary.norm_key(F.col("form")).alias("term"), "form")
 
 
