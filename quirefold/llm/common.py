@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.session import fresh_path, ship
+
 #: Rows of a narrow table (ids, digests, counts) that one sort task takes.
 ROWS_PER_SORT_TASK = 500_000
 #: A table of at most so many narrow rows may be broadcast, after they have been counted.
 BROADCAST_ROWS = 100_000
+#: The same for rows that hold arrays: so many array elements (words or numbers) in all rows together.
+BROADCAST_ELEMENTS = 2_000_000
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -22,23 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not set_before.isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quirefold-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs nothing before it."""
     path = fresh_path(df.sparkSession, name)
@@ -64,8 +49,15 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+def maybe_broadcast_arrays(df: DataFrame, elements: Column) -> DataFrame:
+    """Broadcast ``df``, whose rows vary in size, only when all its array elements together are few."""
+    total = df.agg(F.sum(elements.cast("long")).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if total <= BROADCAST_ELEMENTS else df
+
+
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Let Arrow batches of whole texts hold at most ``rows`` rows, so that a batch of long texts fits a worker."""
+    """Prepare Python functions over whole texts: the package is on the executors, and batches of long texts fit a worker."""
+    ship(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > rows:
         spark.conf.set(name, str(rows))

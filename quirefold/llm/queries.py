@@ -25,7 +25,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return phrase_index.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    return phrase_index.contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
 OP2_SQL = r"""
