@@ -100,7 +100,7 @@ def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def located_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles are the first lines of every benchmark item; books are the documents of a source that hold one."""
+    """Every document is a book, and its own short lines are the titles that are looked for in it."""
     docs = read(spark, sf_dir, "documents", ["doc_id", "text"])
     lines = docs.select(F.col("doc_id").cast("string").alias("book"), "text", F.filter(F.split("text", "\n"), lambda s: F.length(F.trim(s)).between(2, 80)).alias("titles"))
     return structure.located_titles(lines)
