@@ -124,49 +124,48 @@ class Encoder:
     """Encoded texts of one worker process, with the remembered chunks."""
 
     merger: Merger
-    #: chunk: number of ids, ids as decimals joined by a space, decoded text
-    known: dict[str, tuple[int, str, str]] = field(default_factory=dict)
+    #: chunk: its ids as decimals joined by a space
+    ids: dict[str, str] = field(default_factory=dict)
+    #: chunk: its decoded text
+    texts: dict[str, str] = field(default_factory=dict)
     #: chunks on which the library differed, so that its ids were taken
     differences: int = 0
 
-    def _learn(self, new: list[str]) -> dict[str, tuple[int, str, str]]:
+    def _learn(self, new: list[str]) -> None:
         """Merge chunks and compare them with the library, which puts a space before each text it gets.
 
         A chunk that begins with a space mark gives that one up; any other follows a line feed, which is a byte
         piece and joins nothing.
         """
-        merger, out = self.merger, {}
+        merger = self.merger
         asked = [c[1:].replace(SPACE, " ") if c.startswith(SPACE) else "\n" + c for c in new]
         for chunk, theirs in zip(new, merger.library.encode(asked, num_threads=1)):
             ids = merger.merge(chunk)
             checked = theirs[2:] if not chunk.startswith(SPACE) else theirs if len(chunk) > 1 else ids
-            out[chunk] = (len(checked), " ".join(map(str, checked)), merger.decode_part(checked))
+            self.ids[chunk] = " ".join(map(str, checked))
+            self.texts[chunk] = merger.decode_part(checked)
             self.differences += ids != checked
-        return out
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str, bool]]:
         """For each text: number of ids, the ids as decimals, the decoded text, and whether the library agreed where asked."""
-        merger, known = self.merger, self.known
-        if len(known) > MEMORY:
-            known.clear()
-        cut = [merger.chunks(t) for t in texts]
-        new = {c for chunks in cut for c in chunks if c not in known}
-        fresh = self._learn(list(new)) if new else {}
-        for c, v in fresh.items():
-            if len(c) <= LONGEST_KEPT:
-                known[c] = v
-        look = known if all(len(c) <= LONGEST_KEPT for c in fresh) else known | fresh
-        out = []
-        end = str(merger.eos)
+        if len(self.ids) > MEMORY:
+            self.ids.clear()
+            self.texts.clear()
+        cut = [self.merger.chunks(t) for t in texts]
+        new = list(set().union(*cut).difference(self.ids))
+        self._learn(new)
+        out, end = [], str(self.merger.eos)
         for i, chunks in enumerate(cut):
-            found = [look[c] for c in chunks]
-            ids = " ".join([x[1] for x in found] + [end])
-            text = "".join([x[2] for x in found])
+            ids = " ".join([*map(self.ids.__getitem__, chunks), end])
+            text = "".join(map(self.texts.__getitem__, chunks))
             agreed = True
             if i == 0:
-                theirs = " ".join(map(str, merger.library.encode(texts[0], add_eos=True)))
+                theirs = " ".join(map(str, self.merger.library.encode(texts[0], add_eos=True)))
                 agreed, ids = theirs == ids, theirs
             out.append((ids.count(" ") + 1, ids, text[1:] if text.startswith(" ") else text, agreed))
+        for chunk in new:
+            if len(chunk) > LONGEST_KEPT:
+                del self.ids[chunk], self.texts[chunk]
         return out
 
 
