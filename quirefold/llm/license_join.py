@@ -1,15 +1,19 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document, a template a short notice; both are sets of words. A block matches a template
-when it holds at least four fifths of the template's words. The join reads every line once and keeps of it the
-words that any template has. Those words get a global order, rarest in the corpus first. With ``need`` words
-required of a template of ``size`` words,
+A block is a line of a document or a window of consecutive words that crosses line ends, a template a short notice;
+all are sets of words. A block matches a template when it holds at least four fifths of the template's words. A
+window is a quarter longer than its template, so a notice wrapped over any number of lines is compared as a whole,
+with comment marks or a few other words in between.
+
+The join reads every line once and keeps of it the words that any template has. Those words get a global order,
+rarest in the corpus first. With ``need`` words required of a template of ``size`` words,
 
 * prefix filter: a match has one of the first ``size - need + 1`` words of the template in that order;
 * length filter: the block has ``need`` template words at all;
 * positional filter: the words after the first shared one, on the side that has fewer, suffice to reach ``need``.
 
-What passes is counted exactly. The filters only leave out pairs that cannot match, so every match is found.
+What passes is counted exactly. Windows are looked at only in documents that hold ``need`` words of the template at
+all. The filters only leave out pairs that cannot match, so every match is found.
 """
 
 from __future__ import annotations
@@ -50,6 +54,11 @@ def needed(size: int) -> int:
     return (4 * size + 4) // 5
 
 
+def span(text: str) -> int:
+    """Words of a window for a template: its own words with repeats, and a quarter more for words in between."""
+    return 5 * len(re.findall("[a-z0-9]+", text.lower())) // 4
+
+
 def base_places(w: Column) -> Column:
     """All places where a base phrase stands: array of (start, label)."""
 
@@ -111,6 +120,50 @@ def similarity_join(blocks: DataFrame, templates: list[tuple[str, str]]) -> Data
     )
 
 
+def wrapped_notices(texts: DataFrame, templates: list[tuple[str, str]], text: str = "_text") -> DataFrame:
+    """(the columns of ``texts`` but for ``text``, label, containment) for every window over a line end that matches a template.
+
+    Every window with the most shared words can be moved to begin at a word of the template, so only those are counted.
+    """
+    sets = [(label, template_words(notice), span(notice)) for label, notice in templates]
+    literal = lambda ws: F.array(*[F.lit(w) for w in ws])
+    vocabulary = literal(sorted({w for _, ws, _ in sets for w in ws}))
+    keys = [c for c in texts.columns if c != text]
+    possible = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.size(F.array_intersect(literal(ws), "_toks")) >= needed(len(ws)),
+                    F.struct(F.lit(label).alias("label"), literal(ws).alias("ws"), F.lit(needed(len(ws))).alias("need"), F.lit(width).alias("span")),
+                )
+                for label, ws, width in sets
+            ]
+        )
+    )
+    least = min(needed(len(ws)) for _, ws, _ in sets)
+    held = F.when(F.contains(text, F.lit("\n")), F.array_intersect(vocabulary, words(F.col(text))))
+    lines = F.transform(F.split(text, "\n"), lambda x, n: F.transform(words(x), lambda w: F.struct(n.alias("line"), w.alias("w"))))
+    placed = F.transform(F.flatten(lines), lambda x, i: F.struct(i.alias("at"), x["line"].alias("line"), x["w"].alias("w")))
+    t, hits = F.col("_t"), F.col("_hits")
+    # at most as many hits as words lie in a window, so a slice of that length holds it
+    windows = F.transform(hits, lambda h, k: F.filter(F.slice(hits, k + 1, t["span"]), lambda g: g["at"] < h["at"] + t["span"]))
+    shared = F.transform(
+        F.filter(windows, lambda x: F.get(x, F.lit(0))["line"] < F.element_at(x, -1)["line"]),
+        lambda x: F.size(F.array_distinct(F.transform(x, lambda g: g["w"]))),
+    )
+    # outer generators: no condition on what they make is moved below them, where the splits would be computed again
+    best = F.array_max(shared)
+    return (
+        texts.withColumn("_toks", held)
+        .select(*keys, text, F.explode_outer(F.when(F.size("_toks") >= least, possible)).alias("_t"))
+        .where(t.isNotNull())
+        .withColumn("_hits", F.filter(placed, lambda x: F.array_contains(t["ws"], x["w"])))
+        .select(*keys, "_t", F.explode_outer(F.array(best)).alias("_shared"))
+        .where(F.col("_shared") >= t["need"])
+        .select(*keys, t["label"].alias("label"), (F.col("_shared") / F.size(t["ws"])).alias("containment"))
+    )
+
+
 def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of ``docs``.
 
@@ -121,10 +174,11 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", templates:
     marked = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     marked = marked.withColumn("_text_hash", F.xxhash64("_text"))
     lines = marked.select("_key", "_text_hash", F.posexplode(F.split("_text", "\n")).alias("block", "line"))
+    pairs = similarity_join(lines, templates).drop("block").unionByName(wrapped_notices(marked, templates))
     found = common.stored(
-        similarity_join(lines, templates)
-        .groupBy(F.col("_key").alias("_k"), F.col("_text_hash").alias("_h"))
-        .agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment")),
+        pairs.groupBy(F.col("_key").alias("_k"), F.col("_text_hash").alias("_h")).agg(
+            F.collect_set("label").alias("found"), F.max("containment").alias("containment")
+        ),
         "licensed",
     )
     rows = marked.select("_key", "_text_hash", words(F.col("_text")).alias("w"))
@@ -146,7 +200,7 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", templates:
 
 
 def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES) -> str:
-    """The same result by comparing every line with every template."""
+    """The result for lines by comparing every line with every template. Windows over line ends are not in it."""
     values = ", ".join(f"({i}, '{label}', [{', '.join(repr(w) for w in template_words(text))}])" for i, (label, text) in enumerate(templates))
     places = " UNION ALL ".join(
         f"SELECT doc_id, i, '{label}' AS label FROM spots WHERE " + " AND ".join(f"w[i + {k + 1}] = '{p}'" for k, p in enumerate(phrase.split()))

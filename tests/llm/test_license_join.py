@@ -58,3 +58,33 @@ def test_empty_table_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "Licensed under CC BY-NC 4.0.", "t", 3)], "doc_id long, text string, labels string, n_words int")
     assert [r["labels"] for r in L.scanned(docs).collect()] == ["cc-by-nc"]
     assert L.scanned(docs.where("false")).collect() == []
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:",
+    "isc": " * Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted, provided that",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public\r\nLicense, v. 2.0. If a copy",
+}
+
+
+def _windows(text):
+    """Labels and best containment over every window of every template's length, one after the other."""
+    w, found = _words(text), {}
+    for label, template in L.TEMPLATES:
+        ws = set(L.template_words(template))
+        for i in range(len(w)):
+            c = len(ws & set(w[i : i + L.span(template)]))
+            if c >= L.needed(len(ws)):
+                found[label] = max(found.get(label, 0), c / len(ws))
+    return found
+
+
+def test_wrapped_notices_are_found_as_a_whole(spark):
+    docs = [(i, f"some text\n{notice}\nmore text") for i, notice in enumerate(WRAPPED.values())]
+    docs += [(10, WRAPPED["bsd"].replace(" ", "\n")), (11, "free of\ncharge " * 400), (12, WRAPPED["isc"].replace("\n", "\n" + "x " * 60)), (None, WRAPPED["mpl"])]
+    docs += [(20 + n, "a\n" + "\n".join(L.template_words(t)[cut:]) + "\nb") for n, (_, t) in enumerate(L.TEMPLATES) for cut in range(3)]
+    got = sorted(((r["doc_id"], r["labels"], r["score"]) for r in L.scanned(spark.createDataFrame(docs, "doc_id long, text string")).where("n_base = 0").collect()), key=repr)
+    want = [(i, ",".join(sorted(f)), max(f.values(), default=0.0)) for i, t in docs for f in [_windows(t)] if not any(p in " ".join(_words(t)) for p, _ in L.PHRASES)]
+    assert got == sorted(want, key=repr)
+    assert [x[1] for x in got if x[0] in range(4)] == list(WRAPPED) and (12, "", 0.0) in got
