@@ -14,6 +14,11 @@ rarest in the corpus first. With ``need`` words required of a template of ``size
 
 What passes is counted exactly. Windows are looked at only in documents that hold ``need`` words of the template at
 all. The filters only leave out pairs that cannot match, so every match is found.
+
+Templates that differ in a word or two match each other's notices. Such rivals make a family, and in each block only
+the member with the largest containment counts, of equal ones that with more words; what is still equal counts
+together ("CC BY-NC-SA" is cc-by-nc and cc-by-sa). A window that touches a line which matches a contested family by
+itself is left to that line. Blocks are sets, so a word "sa" elsewhere in the line of a CC BY notice counts as its own.
 """
 
 from __future__ import annotations
@@ -41,6 +46,12 @@ TEMPLATES = [
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
+#: Notices that one of TEMPLATES would match too: rivals of it, which keep their own labels.
+VARIANTS = [
+    ("cc-by", "Licensed under CC BY 4.0"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0"),
+]
 #: Base phrases and their labels.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
@@ -59,6 +70,18 @@ def span(text: str) -> int:
     return 5 * len(re.findall("[a-z0-9]+", text.lower())) // 4
 
 
+def families(templates: list[tuple[str, str]]) -> list[int]:
+    """For each template the number of its family: the first template that it is linked with by rivals of other labels."""
+    sets = [(label, set(template_words(text))) for label, text in templates]
+    family = list(range(len(sets)))
+    for i, (a, x) in enumerate(sets):
+        for j, (b, y) in enumerate(sets[:i]):
+            if a != b and len(x & y) >= min(needed(len(x)), needed(len(y))):
+                old, new = max(family[i], family[j]), min(family[i], family[j])
+                family = [new if f == old else f for f in family]
+    return family
+
+
 def base_places(w: Column) -> Column:
     """All places where a base phrase stands: array of (start, label)."""
 
@@ -77,7 +100,7 @@ def base_places(w: Column) -> Column:
 
 
 def similarity_join(blocks: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
-    """(the columns of ``blocks`` but for line, label, containment) for every matching pair of line and template."""
+    """(the columns of ``blocks`` but for line, family, label, containment, size) for every matching pair of line and template."""
     sets = [(label, template_words(text)) for label, text in templates]
     vocabulary = sorted({w for _, ws in sets for w in ws})
     literal = lambda ws: F.array(*[F.lit(w) for w in ws])
@@ -89,11 +112,11 @@ def similarity_join(blocks: DataFrame, templates: list[tuple[str, str]]) -> Data
     counts = {r["t"]: r["n"] for r in records.select(F.explode("toks").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
-    prefixes, whole = [], []
+    prefixes, whole, family = [], [], families(templates)
     for number, (label, ws) in enumerate(sets):
         ranked = sorted(ws, key=rank.__getitem__)
         need = needed(len(ws))
-        whole.append((number, label, ranked))
+        whole.append((number, family[number], label, ranked))
         prefixes += [(w, number, at, len(ws), need) for at, w in enumerate(ranked[: len(ws) - need + 1])]
     spark = blocks.sparkSession
     # as many rows as the templates have prefix words: fixed by the template list
@@ -111,60 +134,81 @@ def similarity_join(blocks: DataFrame, templates: list[tuple[str, str]]) -> Data
         .select(*keys, "toks", "template", "need", "size")
         .distinct()
     )
-    full = spark.createDataFrame(whole, "template int, label string, ws array<string>")
+    full = spark.createDataFrame(whole, "template int, family int, label string, ws array<string>")
     overlap = F.size(F.array_intersect("ws", "toks"))
     return (
         shared.join(F.broadcast(full), "template")
         .where(overlap >= F.col("need"))
-        .select(*keys, "label", (overlap / F.col("size")).alias("containment"))
+        .select(*keys, "family", "label", (overlap / F.col("size")).alias("containment"), "size")
     )
 
 
+def winners(pairs: DataFrame, block: list[str]) -> DataFrame:
+    """Of the pairs of each block and family those with the largest containment, then size: (block, family, label, containment)."""
+    best = pairs.groupBy(*block, "family").agg(
+        F.max(F.struct("containment", "size")).alias("_top"), F.collect_set(F.struct("label", "containment", "size")).alias("_all")
+    )
+    top = F.col("_top")
+    won = F.filter("_all", lambda p: (p["containment"] == top["containment"]) & (p["size"] == top["size"]))
+    return best.select(*block, "family", F.explode(won).alias("_won")).select(*block, "family", "_won.label", "_won.containment")
+
+
 def wrapped_notices(texts: DataFrame, templates: list[tuple[str, str]], text: str = "_text") -> DataFrame:
-    """(the columns of ``texts`` but for ``text``, label, containment) for every window over a line end that matches a template.
+    """(the columns of ``texts`` but for ``text``, first, last, family, label, containment) for every window from line ``first`` to a
+    later line ``last`` that matches a template, with the winners of each family.
 
-    Every window with the most shared words can be moved to begin at a word of the template, so only those are counted.
+    Every window with the most shared words can be moved to begin at a word of the family, so only those are counted.
     """
-    sets = [(label, template_words(notice), span(notice)) for label, notice in templates]
     literal = lambda ws: F.array(*[F.lit(w) for w in ws])
-    vocabulary = literal(sorted({w for _, ws, _ in sets for w in ws}))
+    sets = [template_words(notice) for _, notice in templates]
+    vocabulary = literal(sorted({w for ws in sets for w in ws}))
     keys = [c for c in texts.columns if c != text]
-    possible = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.size(F.array_intersect(literal(ws), "_toks")) >= needed(len(ws)),
-                    F.struct(F.lit(label).alias("label"), literal(ws).alias("ws"), F.lit(needed(len(ws))).alias("need"), F.lit(width).alias("span")),
-                )
-                for label, ws, width in sets
-            ]
-        )
-    )
-    least = min(needed(len(ws)) for _, ws, _ in sets)
+    groups: dict[int, list[int]] = {}
+    for number, family in enumerate(families(templates)):
+        groups.setdefault(family, []).append(number)
+    possible = []
+    for family, numbers in groups.items():
+        fits = reduce(lambda a, b: a | b, [F.size(F.array_intersect(literal(sets[n]), "_toks")) >= needed(len(sets[n])) for n in numbers])
+        members = [
+            F.struct(F.lit(templates[n][0]).alias("label"), literal(sets[n]).alias("ws"), F.lit(needed(len(sets[n]))).alias("need")) for n in numbers
+        ]
+        width = F.lit(max(span(templates[n][1]) for n in numbers)).alias("span")
+        every = literal(sorted({w for n in numbers for w in sets[n]})).alias("ws")
+        possible.append(F.when(fits, F.struct(F.lit(family).alias("family"), F.array(*members).alias("members"), every, width)))
+    least = min(needed(len(ws)) for ws in sets)
     held = F.when(F.contains(text, F.lit("\n")), F.array_intersect(vocabulary, words(F.col(text))))
     lines = F.transform(F.split(text, "\n"), lambda x, n: F.transform(words(x), lambda w: F.struct(n.alias("line"), w.alias("w"))))
     placed = F.transform(F.flatten(lines), lambda x, i: F.struct(i.alias("at"), x["line"].alias("line"), x["w"].alias("w")))
     t, hits = F.col("_t"), F.col("_hits")
     # at most as many hits as words lie in a window, so a slice of that length holds it
     windows = F.transform(hits, lambda h, k: F.filter(F.slice(hits, k + 1, t["span"]), lambda g: g["at"] < h["at"] + t["span"]))
-    shared = F.transform(
+    crossing = F.transform(
         F.filter(windows, lambda x: F.get(x, F.lit(0))["line"] < F.element_at(x, -1)["line"]),
-        lambda x: F.size(F.array_distinct(F.transform(x, lambda g: g["w"]))),
+        lambda x: F.struct(
+            F.get(x, F.lit(0))["at"].alias("at"),
+            F.get(x, F.lit(0))["line"].alias("first"),
+            F.element_at(x, -1)["line"].alias("last"),
+            F.array_distinct(F.transform(x, lambda g: g["w"])).alias("ws"),
+        ),
     )
+    shared = F.size(F.array_intersect(F.col("_m")["ws"], F.col("_x")["ws"]))
     # outer generators: no condition on what they make is moved below them, where the splits would be computed again
-    best = F.array_max(shared)
-    return (
+    pairs = (
         texts.withColumn("_toks", held)
-        .select(*keys, text, F.explode_outer(F.when(F.size("_toks") >= least, possible)).alias("_t"))
+        .select(*keys, text, F.explode_outer(F.when(F.size("_toks") >= least, F.array_compact(F.array(*possible)))).alias("_t"))
         .where(t.isNotNull())
         .withColumn("_hits", F.filter(placed, lambda x: F.array_contains(t["ws"], x["w"])))
-        .select(*keys, "_t", F.explode_outer(F.array(best)).alias("_shared"))
-        .where(F.col("_shared") >= t["need"])
-        .select(*keys, t["label"].alias("label"), (F.col("_shared") / F.size(t["ws"])).alias("containment"))
+        .select(*keys, "_t", F.explode_outer(crossing).alias("_x"))
+        .select(*keys, t["family"].alias("family"), "_x", F.explode_outer(t["members"]).alias("_m"))
+        .where(shared >= F.col("_m")["need"])
+        .select(*keys, "_x.at", "_x.first", "_x.last", "family", "_m.label", (shared / F.size("_m.ws")).alias("containment"), F.size("_m.ws").alias("size"))
     )
+    return winners(pairs, [*keys, "at", "first", "last"]).drop("at")
 
 
-def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+def scanned(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, variants: list[tuple[str, str]] = VARIANTS
+) -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of ``docs``.
 
     score is the largest containment of a matching template, and 1 where a base phrase stands. Null texts count as
@@ -174,7 +218,21 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", templates:
     marked = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     marked = marked.withColumn("_text_hash", F.xxhash64("_text"))
     lines = marked.select("_key", "_text_hash", F.posexplode(F.split("_text", "\n")).alias("block", "line"))
-    pairs = similarity_join(lines, templates).drop("block").unionByName(wrapped_notices(marked, templates))
+    every = [*templates, *variants]
+    family = families(every)
+    contested = sorted({f for f in family if family.count(f) > 1})
+    by_line = common.stored(winners(similarity_join(lines, every), ["_key", "_text_hash", "block"]), "notices")
+    whole = by_line.where(F.col("family").isin(contested)).select(
+        F.col("_key").alias("_k"), F.col("_text_hash").alias("_h"), F.col("family").alias("_f"), F.col("block").alias("_b")
+    ).distinct()
+    touches = (
+        F.col("_key").eqNullSafe(F.col("_k"))
+        & (F.col("_text_hash") == F.col("_h"))
+        & (F.col("family") == F.col("_f"))
+        & F.col("_b").between(F.col("first"), F.col("last"))
+    )
+    wrapped = wrapped_notices(marked, every).join(common.maybe_broadcast(whole, whole.count()), touches, "left_anti")
+    pairs = by_line.drop("block", "family").unionByName(wrapped.drop("first", "last", "family"))
     found = common.stored(
         pairs.groupBy(F.col("_key").alias("_k"), F.col("_text_hash").alias("_h")).agg(
             F.collect_set("label").alias("found"), F.max("containment").alias("containment")
@@ -200,7 +258,7 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", templates:
 
 
 def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES) -> str:
-    """The result for lines by comparing every line with every template. Windows over line ends are not in it."""
+    """The result for lines by comparing every line with every template. Windows over line ends and VARIANTS are not in it."""
     values = ", ".join(f"({i}, '{label}', [{', '.join(repr(w) for w in template_words(text))}])" for i, (label, text) in enumerate(templates))
     places = " UNION ALL ".join(
         f"SELECT doc_id, i, '{label}' AS label FROM spots WHERE " + " AND ".join(f"w[i + {k + 1}] = '{p}'" for k, p in enumerate(phrase.split()))

@@ -88,3 +88,18 @@ def test_wrapped_notices_are_found_as_a_whole(spark):
     want = [(i, ",".join(sorted(f)), max(f.values(), default=0.0)) for i, t in docs for f in [_windows(t)] if not any(p in " ".join(_words(t)) for p, _ in L.PHRASES)]
     assert got == sorted(want, key=repr)
     assert [x[1] for x in got if x[0] in range(4)] == list(WRAPPED) and (12, "", 0.0) in got
+
+
+def test_variants_of_a_short_notice_keep_their_own_labels(spark):
+    said = {"BY-SA": "cc-by-sa", "BY": "cc-by", "BY-ND": "cc-by-nd", "BY-NC": "cc-by-nc", "BY-NC-SA": "cc-by-nc,cc-by-sa"}
+    docs, want = [], {}
+    for n, (code, labels) in enumerate(said.items()):
+        one = f"Licensed under CC {code} 4.0"
+        for k, text in enumerate([f"x\n{one}.\ny", f"under CC {code} 4.0", f"x\n{one.replace('CC ', 'CC' + chr(10))} y", one.replace(" ", "\n"), f"{one}\nsa nd"]):
+            docs.append((10 * n + k, text))
+            want[10 * n + k] = labels
+    docs += [(90, "Licensed under CC BY-SA 4.0\nLicensed under CC BY 4.0"), (None, "Licensed under CC BY-SA 4.0"), (91, "CC BY-NC")]
+    want |= {90: "cc-by,cc-by-sa", None: "cc-by-sa", 91: ""}
+    got = L.scanned(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in got} == want
+    assert {r["score"] for r in got if r["doc_id"] is not None and r["doc_id"] % 10 == 0 and r["doc_id"] < 90} == {1.0}
