@@ -3,9 +3,14 @@
 Each rule is a measure of a text and a cutoff; a text over the cutoff is rejected. Cutoffs are not set by hand:
 for each stratum (language) and rule, labelled documents give the number of good texts at or over each cutoff of
 a fixed grid, and a cutoff may be used only if the exact (Clopper-Pearson) upper bound on its rate of false
-rejections stays within ``ALPHA``. The error probability ``DELTA`` is divided by the number of all cutoffs tested
-(strata x rules x grid), so that all chosen cutoffs keep their promise at once with probability ``1 - DELTA``.
-The strictest admitted cutoff is taken; a rule without one is off in that stratum.
+rejections stays within ``ALPHA``. The cutoffs of a rule are nested, so they are tested in a fixed sequence from lax
+to strict that ends at the first failure, and the grid costs no error: ``DELTA`` is divided by strata x rules, and all
+chosen cutoffs keep their promise at once with probability ``1 - DELTA``. The last cutoff that passes is taken; a rule
+without one is off in that stratum.
+
+A language with too few good labels for a test of its own, but some, goes by the fallback stratum: all such languages
+together and, while those are still too few, the next larger ones. Its promise holds for that mixture. Which language
+goes where depends on the numbers of labels alone, never on measures. Languages without labels have base rules only.
 
 Measures are computed on whole texts in Arrow batches; repeated 8-word windows are found exactly, by numbering
 distinct pairs, fours and eights of words instead of hashing them.
@@ -184,6 +189,47 @@ def admitted(counts: dict[tuple[str, str], list[int]], good: dict[str, int], alp
     return out
 
 
+def strata(good: dict[str, int], rules: int, alpha: float = ALPHA, delta: float = DELTA) -> tuple[list[str], list[str], list[str]]:
+    """(strata with a test of their own, strata that go by the fallback, strata whose labels the fallback is tested on)."""
+    order = sorted((s for s in good if good[s] > 0), key=lambda s: (-good[s], s))
+    least = lambda n: math.log(delta / (n * rules)) / math.log1p(-alpha)  # noqa: E731  (with none rejected, in n strata)
+    own = 0
+    while own < len(order) and good[order[own]] >= least(min(own + 2, len(order))):
+        own += 1
+    few = order[own:]
+    pool = list(few)
+    for larger in reversed(order[:own] if few else []):
+        if sum(good[s] for s in pool) >= least(own + 1):
+            break
+        pool.append(larger)
+    return order[:own], few, pool
+
+
+def last_passed(over: list[int], good: int, error: float, alpha: float = ALPHA) -> int | None:
+    """The strictest cutoff of the sequence from lax to strict up to the first whose bound exceeds alpha; error is for the whole sequence."""
+    chosen = None
+    for cutoff in range(len(over), 0, -1):
+        if over[cutoff - 1] > alpha * good or at_most(over[cutoff - 1], good, alpha) > error:
+            break
+        chosen = cutoff
+    return chosen
+
+
+def learned(counts: dict[tuple[str, str], list[int]], good: dict[str, int], alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], int]:
+    """The cutoff for each (stratum, rule) that has one. counts and good as in admitted(), which tests every cutoff at an error of its own."""
+    rules = sorted({rule for _, rule in counts})
+    own, few, pool = strata(good, max(1, len(rules)), alpha, delta)
+    error = delta / max(1, (len(own) + bool(few)) * len(rules))
+    out: dict[tuple[str, str], int] = {}
+    for tested, used in [*(([s], [s]) for s in own), (pool, few)]:
+        for rule in rules:
+            over = [sum(column) for column in zip(*(counts[s, rule] for s in tested))]
+            cutoff = last_passed(over, sum(good[s] for s in tested), error, alpha)
+            if cutoff:
+                out |= {(s, rule): cutoff for s in used}
+    return out
+
+
 def calibrate(measured: DataFrame, labels: DataFrame, stratum: str, key: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], int]:
     """Cutoffs by (stratum, rule) from all labelled rows of ``measured``, which has the measures in ``_m``.
 
@@ -209,7 +255,7 @@ def calibrate(measured: DataFrame, labels: DataFrame, stratum: str, key: str = "
         over = counts.setdefault(at, [0] * GRID)
         for cutoff in range(min(r["cell"], GRID)):
             over[cutoff] += r["n"]
-    return admitted(counts, {value: n for (value, _), n in total.items()}, alpha, delta)
+    return learned(counts, {value: n for (value, _), n in total.items()}, alpha, delta)
 
 
 def judged(docs: DataFrame, labels: DataFrame, carry: list[str], key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:

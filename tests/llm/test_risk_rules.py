@@ -78,3 +78,18 @@ def test_learned_cutoffs_reject_junk_and_spare_good_texts(spark):
     assert R.keep_good(docs, labels).columns == docs.columns
     assert R.keep_good(docs.where("false"), labels).collect() == []
     assert {r["doc_id"] for r in R.keep_good(docs, labels.where("false")).collect()} == kept | {i for i, *_ in junk}
+
+
+def test_languages_with_few_labels_go_by_a_fallback_stratum(spark):
+    none = [0] * R.GRID
+    good = {"en": 2076, "de": 507, "fr": 505, "es": 321, "xx": 0}
+    chosen = R.learned({(s, r): none for s in good for r in "abcde"}, good)
+    assert {s for s, _ in chosen} == {"en", "de", "fr", "es"} and set(chosen.values()) == {1}
+    assert R.learned({("en", r): none for r in "abcde"}, {"en": 400}) == {}  # too few altogether
+    assert R.last_passed([9] * 10 + [0] * 5 + [2] * 5, 500, 0.05) is None  # the sequence ends at its first failure
+    assert R.last_passed([9] * 10 + [0] * 10, 500, 0.05) == 11
+    fine = [(n, " ".join(f"w{n}x{k}" for k in range(30)), ("en", "de", "fr")[n % 3]) for n in range(720)]
+    junk = [(1000 + n, " ".join(f"#{n}x{k}$" for k in range(30)), ("en", "de", "fr")[n % 3]) for n in range(9)]
+    docs = spark.createDataFrame(fine + junk, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in fine] + [(i, 0) for i, *_ in junk], "doc_id long, quality int")
+    assert {r["doc_id"] for r in R.keep_good(docs, labels).collect()} == {i for i, *_ in fine}
