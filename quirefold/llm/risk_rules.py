@@ -1,12 +1,17 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule is a measure of a text and a cutoff; a text over the cutoff is rejected. Cutoffs are not set by hand:
-for each stratum (language) and rule, labelled documents give the number of good texts at or over each cutoff of
-a fixed grid, and a cutoff may be used only if the exact (Clopper-Pearson) upper bound on its rate of false
-rejections stays within ``ALPHA``. The cutoffs of a rule are nested, so they are tested in a fixed sequence from lax
-to strict that ends at the first failure, and the grid costs no error: ``DELTA`` is divided by strata x rules, and all
-chosen cutoffs keep their promise at once with probability ``1 - DELTA``. The last cutoff that passes is taken; a rule
-without one is off in that stratum.
+Each rule is a measure of a text and a cutoff; a text over any cutoff is rejected. Cutoffs are not set by hand: for
+each stratum (language), labelled documents give the number of good texts at or over each cutoff of a fixed grid, and
+cutoffs may be used only if the exact (Clopper-Pearson) upper bound on the rate of good texts that all rules together
+reject stays within ``ALPHA``. Two ways are tried, each with half of the stratum's error:
+
+* together: the same cutoff for all rules, and the union of what they reject is bounded;
+* apart: a cutoff for each rule, its rate bounded by ``ALPHA`` / rules, so the sum and with it the union is bounded.
+
+Cutoffs are nested, so they are tested in a fixed sequence from lax to strict that ends at the first failure, and the
+grid costs no error: ``DELTA`` is divided by strata, ways and, apart, rules. All promises hold at once with probability
+``1 - DELTA``, so of the two ways the one that rejects more labelled texts that are not good may be taken (of equal
+ones the first). Where neither gives a cutoff the rules are off.
 
 A language with too few good labels for a test of its own, but some, goes by the fallback stratum: all such languages
 together and, while those are still too few, the next larger ones. Its promise holds for that mixture. Which language
@@ -19,6 +24,7 @@ distinct pairs, fours and eights of words instead of hashing them.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +35,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Largest admitted share of good texts that one rule rejects in one stratum, and the joint error probability.
+#: Largest admitted share of good texts that all rules together reject in one stratum, and the joint error probability.
 ALPHA = 0.01
 DELTA = 0.05
 WINDOW = 8
@@ -189,10 +195,16 @@ def admitted(counts: dict[tuple[str, str], list[int]], good: dict[str, int], alp
     return out
 
 
-def strata(good: dict[str, int], rules: int, alpha: float = ALPHA, delta: float = DELTA) -> tuple[list[str], list[str], list[str]]:
+#: Ways to choose cutoffs: together and apart.
+WAYS = 2
+#: The name under which counts have the union of all rules.
+ANY = "any"
+
+
+def strata(good: dict[str, int], alpha: float = ALPHA, delta: float = DELTA) -> tuple[list[str], list[str], list[str]]:
     """(strata with a test of their own, strata that go by the fallback, strata whose labels the fallback is tested on)."""
     order = sorted((s for s in good if good[s] > 0), key=lambda s: (-good[s], s))
-    least = lambda n: math.log(delta / (n * rules)) / math.log1p(-alpha)  # noqa: E731  (with none rejected, in n strata)
+    least = lambda n: math.log(delta / (n * WAYS)) / math.log1p(-alpha)  # noqa: E731  (with none rejected, in n strata)
     own = 0
     while own < len(order) and good[order[own]] >= least(min(own + 2, len(order))):
         own += 1
@@ -215,18 +227,27 @@ def last_passed(over: list[int], good: int, error: float, alpha: float = ALPHA)
     return chosen
 
 
-def learned(counts: dict[tuple[str, str], list[int]], good: dict[str, int], alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], int]:
-    """The cutoff for each (stratum, rule) that has one. counts and good as in admitted(), which tests every cutoff at an error of its own."""
-    rules = sorted({rule for _, rule in counts})
-    own, few, pool = strata(good, max(1, len(rules)), alpha, delta)
-    error = delta / max(1, (len(own) + bool(few)) * len(rules))
+def learned(
+    counts: dict[tuple[str, str], list[int]], good: dict[str, int], bad: Callable[[str, dict[str, int]], int], alpha: float = ALPHA, delta: float = DELTA
+) -> dict[tuple[str, str], int]:
+    """The cutoff for each (stratum, rule) that has one.
+
+    counts: good texts at or over cutoff 1, 2, ... GRID by (stratum, rule), and by (stratum, ANY) those at or over it
+    in any rule; good: good texts of each stratum; bad: the texts of a stratum not labelled good that cutoffs reject.
+    """
+    rules = sorted({rule for _, rule in counts} - {ANY})
+    own, few, pool = strata(good, alpha, delta)
+    error = delta / max(1, (len(own) + bool(few)) * WAYS)
     out: dict[tuple[str, str], int] = {}
     for tested, used in [*(([s], [s]) for s in own), (pool, few)]:
-        for rule in rules:
-            over = [sum(column) for column in zip(*(counts[s, rule] for s in tested))]
-            cutoff = last_passed(over, sum(good[s] for s in tested), error, alpha)
-            if cutoff:
-                out |= {(s, rule): cutoff for s in used}
+        n = sum(good[s] for s in tested)
+        over = {rule: [sum(column) for column in zip(*(counts[s, rule] for s in tested))] for rule in [*rules, ANY]}
+        union = last_passed(over[ANY], n, error, alpha)
+        together = {rule: union for rule in rules if union}
+        apart = {rule: last_passed(over[rule], n, error / len(rules), alpha / len(rules)) for rule in rules}
+        apart = {rule: cutoff for rule, cutoff in apart.items() if cutoff}
+        chosen = max(together, apart, key=lambda cutoffs: sum(bad(s, cutoffs) for s in tested))
+        out |= {(s, rule): cutoff for s in used for rule, cutoff in chosen.items()}
     return out
 
 
@@ -234,28 +255,37 @@ def calibrate(measured: DataFrame, labels: DataFrame, stratum: str, key: str = "
     """Cutoffs by (stratum, rule) from all labelled rows of ``measured``, which has the measures in ``_m``.
 
     labels: (key, quality); a document labelled twice counts as good only if no label says otherwise. Counts by
-    stratum, rule and grid cell come to the driver and nothing else.
+    stratum, label and grid cells come to the driver and nothing else; most texts are in few of the combined cells.
     """
-    good = labels.groupBy(F.col(key).alias("_good")).agg(F.min("quality").alias("_quality")).where(F.col("_quality") == 1).select("_good")
-    small = common.maybe_broadcast(good, good.count(), 1_000_000)
-    cells = F.array(*[F.struct(F.lit(rule).alias("rule"), grid_cell(share).alias("cell")) for rule, share in shares("_m").items()])
+    told = labels.groupBy(F.col(key).alias("_told")).agg(F.coalesce(F.min("quality") == 1, F.lit(False)).alias("_is_good"))
+    small = common.maybe_broadcast(told, told.count(), 1_000_000)
+    found = shares("_m")
+    rules = sorted(found)
     rows = (
-        measured.join(small, F.col(key) == F.col("_good"), "left_semi")
+        measured.join(small, F.col(key) == F.col("_told"))
         .where(F.col(stratum).isNotNull())
-        .select(F.col(stratum).alias("stratum"), F.explode(cells).alias("c"))
-        .groupBy("stratum", "c.rule", "c.cell")
+        .groupBy(F.col(stratum).alias("stratum"), "_is_good", F.array(*[F.least(grid_cell(found[rule]), F.lit(GRID)) for rule in rules]).alias("cells"))
         .agg(F.count("*").alias("n"))
         .collect()
     )
     counts: dict[tuple[str, str], list[int]] = {}
-    total: dict[tuple[str, str], int] = {}
+    total: dict[str, int] = {}
+    others: dict[str, list[tuple[dict[str, int], int]]] = {}
     for r in rows:
-        at = (r["stratum"], r["rule"])
-        total[at] = total.get(at, 0) + r["n"]
-        over = counts.setdefault(at, [0] * GRID)
-        for cutoff in range(min(r["cell"], GRID)):
-            over[cutoff] += r["n"]
-    return learned(counts, {value: n for (value, _), n in total.items()}, alpha, delta)
+        cells = dict(zip(rules, r["cells"]))
+        if not r["_is_good"]:
+            others.setdefault(r["stratum"], []).append((cells, r["n"]))
+            continue
+        total[r["stratum"]] = total.get(r["stratum"], 0) + r["n"]
+        for rule, cell in [*cells.items(), (ANY, max(cells.values()))]:
+            over = counts.setdefault((r["stratum"], rule), [0] * GRID)
+            for cutoff in range(cell):
+                over[cutoff] += r["n"]
+
+    def bad(value: str, cutoffs: dict[str, int]) -> int:
+        return sum(n for cells, n in others.get(value, []) if any(cells[rule] >= cutoff for rule, cutoff in cutoffs.items()))
+
+    return learned(counts, total, bad, alpha, delta)
 
 
 def judged(docs: DataFrame, labels: DataFrame, carry: list[str], key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:

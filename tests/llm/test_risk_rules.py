@@ -83,9 +83,9 @@ def test_learned_cutoffs_reject_junk_and_spare_good_texts(spark):
 def test_languages_with_few_labels_go_by_a_fallback_stratum(spark):
     none = [0] * R.GRID
     good = {"en": 2076, "de": 507, "fr": 505, "es": 321, "xx": 0}
-    chosen = R.learned({(s, r): none for s in good for r in "abcde"}, good)
+    chosen = R.learned({(s, r): none for s in good for r in [*"abcde", R.ANY]}, good, lambda s, cutoffs: len(cutoffs))
     assert {s for s, _ in chosen} == {"en", "de", "fr", "es"} and set(chosen.values()) == {1}
-    assert R.learned({("en", r): none for r in "abcde"}, {"en": 400}) == {}  # too few altogether
+    assert R.learned({("en", r): none for r in [*"abcde", R.ANY]}, {"en": 300}, lambda s, cutoffs: len(cutoffs)) == {}  # too few altogether
     assert R.last_passed([9] * 10 + [0] * 5 + [2] * 5, 500, 0.05) is None  # the sequence ends at its first failure
     assert R.last_passed([9] * 10 + [0] * 10, 500, 0.05) == 11
     fine = [(n, " ".join(f"w{n}x{k}" for k in range(30)), ("en", "de", "fr")[n % 3]) for n in range(720)]
@@ -93,3 +93,17 @@ def test_languages_with_few_labels_go_by_a_fallback_stratum(spark):
     docs = spark.createDataFrame(fine + junk, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1) for i, *_ in fine] + [(i, 0) for i, *_ in junk], "doc_id long, quality int")
     assert {r["doc_id"] for r in R.keep_good(docs, labels).collect()} == {i for i, *_ in fine}
+
+
+def test_all_rules_together_keep_the_promise():
+    # 0.6 % of the good texts reach the highest cell of each rule, always others: 3 % for all five
+    n, rules = 20_000, "abcde"
+    over = {("en", r): [120] * R.GRID for r in rules}
+    assert all(R.upper_bound(120, n, 0.05 / 5) <= R.ALPHA for _ in rules)
+    assert R.learned(over | {("en", R.ANY): [600] * R.GRID}, {"en": n}, lambda s, cutoffs: len(cutoffs)) == {}
+    # rules of different strictness: apart where that rejects more, and never more than ALPHA in sum
+    over = {("en", r): [9] * R.GRID for r in "abcd"} | {("en", "e"): [2000] * 30 + [9] * 20}
+    over["en", R.ANY] = [2036] * 30 + [45] * 20
+    chosen = R.learned(over, {"en": n}, lambda s, cutoffs: -sum(cutoffs.values()))
+    assert chosen == {("en", r): 1 for r in "abcd"} | {("en", "e"): 31}
+    assert R.upper_bound(sum(over[at][c - 1] for at, c in chosen.items()), n, R.DELTA) <= R.ALPHA
