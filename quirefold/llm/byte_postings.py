@@ -229,21 +229,27 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component_id) for each row of ``docs``; component_id is the smallest key that links lead to.
 
-    Null texts, empty texts and texts without words share fingerprint zero and are linked like any other. A
-    repeated key counts once as a node for each of its fingerprints, joined by the shared key; rows with a null
-    key get a null component_id when no keyed row is in reach. An empty table gives an empty table.
+    Null texts, empty texts and texts without words share fingerprint zero and are linked like any other. Nodes are
+    the distinct fingerprints, whatever their keys, so rows with a null key pass links on; they get a null
+    component_id only when no keyed row is in reach. The fingerprints of a repeated key are joined by the shared key.
+    An empty table gives an empty table.
     """
     common.small_batches(docs.sparkSession)
     prints = common.stored(docs.select(F.col(key).cast("long").alias("key"), fingerprint(F.coalesce(F.col(text), F.lit(""))).alias("fp")), "prints")
-    distinct = common.stored(prints.groupBy("fp").agg(F.min("key").alias("rep")).where(F.col("rep").isNotNull()), "distinct-prints")
-    edges = near_edges(distinct, distinct.count())
-    twice = prints.groupBy("key").agg(F.min("fp").alias("fp"), F.max("fp").alias("_most")).where("fp != _most").select("key")
-    shared_key = (
-        prints.join(twice, "key").join(distinct, "fp").select(F.least("key", "rep").alias("u"), F.greatest("key", "rep").alias("v")).where("u != v")
-    )
+    distinct = common.stored(prints.groupBy("fp").agg(F.min("key").alias("least")), "distinct-prints")
+    edges = near_edges(distinct.select("fp", F.col("fp").alias("rep")), distinct.count())
+    twice = prints.groupBy("key").agg(F.min("fp").alias("u"), F.max("fp").alias("_most")).where("u != _most").select("key", "u")
+    shared_key = prints.join(twice, "key").select("u", F.col("fp").alias("v")).where("u != v")
     roots = components(edges.unionByName(shared_key))
+    placed = common.stored(
+        distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "placed"
+    )
+    # a root's own row is not linked to it, so its key comes in beside those of the linked ones
+    linked = placed.where("fp != root").groupBy("root").agg(F.min("least").alias("_linked"))
+    firsts = placed.where("fp = root").join(linked, "root", "left").select("root", F.least("least", "_linked").alias("component_id"))
+    firsts = common.stored(firsts, "firsts")
     labelled = common.stored(
-        distinct.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "labels"
+        placed.join(common.maybe_broadcast(firsts, firsts.count()), "root").select("fp", "component_id"), "labels"
     )
     return prints.join(labelled, "fp", "left").select(F.col("key").alias(key), "fp", "component_id")
 

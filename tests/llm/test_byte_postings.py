@@ -96,3 +96,12 @@ def test_nulls_repeats_empty_texts_and_clashing_columns(spark):
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([4, 8, 12, None], key=repr)
     assert B.near_duplicates(docs.where("false")).collect() == []
+
+
+def test_rows_with_null_keys_pass_links_on(spark, monkeypatch):
+    # fingerprints 0 - 7 - 63 are linked in a chain; only a row without a key has the middle one
+    monkeypatch.setattr(B, "fingerprint", lambda text: text.cast("long"))
+    rows = [(5, "0"), (None, "7"), (3, "63"), (None, "56"), (None, str(2**40 - 1)), (8, str(2**50 - 2**20)), (8, "1")]
+    got = [(r["doc_id"], r["fp"], r["component_id"]) for r in B.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(5, 0, 3), (None, 7, 3), (3, 63, 3), (None, 56, 3), (None, 2**40 - 1, None), (8, 2**50 - 2**20, 3), (8, 1, 3)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
