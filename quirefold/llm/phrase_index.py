@@ -178,8 +178,11 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with the columns of ``docs``; documents without candidates are clean."""
-    bad = verified(docs, items).where(is_contaminated(F.col("n_words"), F.col("n_hit"))).select("_key", "_h")
-    bad = common.stored(bad, "contaminated")
+    """The rows of ``docs`` without any verified hit, with the columns of ``docs``; documents without candidates are clean.
+
+    A stage goes further than ``contaminated`` does: a hit is a whole item window, so it is benchmark text however
+    long the document around it is.
+    """
+    bad = common.stored(verified(docs, items).select("_key", "_h"), "contaminated")
     own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     return docs.join(common.maybe_broadcast(bad, bad.count(), 1_000_000), docs["doc_id"].eqNullSafe(F.col("_key")) & (own == F.col("_h")), "left_anti")
