@@ -9,8 +9,9 @@ Merging never crosses a cut between two characters that stand beside each other
 vocabulary keeps letters apart from everything else and a space mark only begins a piece (both are tested when it
 is loaded), a text falls into short chunks that are merged on their own and remembered in a bounded table.
 
-Every chunk is compared with the sentencepiece library when it is first met, a batch of chunks at a time, and the
-first text of each Arrow batch is compared whole; on a difference the library's ids are returned.
+The ids are the agenda's. The sentencepiece library checks them in the Arrow batches and supplies none: each chunk is
+compared with it when it is first met, a batch of chunks at a time, and the first text of each slice of a batch is
+compared whole. Differences are counted for each text (``n_differ``); on the given vocabulary there are none.
 """
 
 from __future__ import annotations
@@ -128,29 +129,30 @@ class Encoder:
     ids: dict[str, str] = field(default_factory=dict)
     #: chunk: its decoded text
     texts: dict[str, str] = field(default_factory=dict)
-    #: chunks on which the library differed, so that its ids were taken
-    differences: int = 0
+    #: chunks of which the library has other ids
+    differing: set[str] = field(default_factory=set)
 
     def _learn(self, new: list[str]) -> None:
-        """Merge chunks and compare them with the library, which puts a space before each text it gets.
+        """Merge chunks, and compare them with the library, which puts a space before each text it gets.
 
         A chunk that begins with a space mark gives that one up; any other follows a line feed, which is a byte
-        piece and joins nothing.
+        piece and joins nothing. A lone space mark would be an empty text, so that one is not compared.
         """
         merger = self.merger
         asked = [c[1:].replace(SPACE, " ") if c.startswith(SPACE) else "\n" + c for c in new]
         for chunk, theirs in zip(new, merger.library.encode(asked, num_threads=1)):
             ids = merger.merge(chunk)
-            checked = theirs[2:] if not chunk.startswith(SPACE) else theirs if len(chunk) > 1 else ids
-            self.ids[chunk] = " ".join(map(str, checked))
-            self.texts[chunk] = merger.decode_part(checked)
-            self.differences += ids != checked
+            self.ids[chunk] = " ".join(map(str, ids))
+            self.texts[chunk] = merger.decode_part(ids)
+            if chunk != SPACE and ids != (theirs if chunk.startswith(SPACE) else theirs[2:]):
+                self.differing.add(chunk)
 
-    def encode(self, texts: list[str]) -> list[tuple[int, str, str, bool]]:
-        """For each text: number of ids, the ids as decimals, the decoded text, and whether the library agreed where asked."""
+    def encode(self, texts: list[str]) -> list[tuple[int, str, str, int]]:
+        """For each text: number of ids, the ids as decimals, the decoded text, and the differences from the library."""
         if len(self.ids) > MEMORY:
             self.ids.clear()
             self.texts.clear()
+            self.differing.clear()
         cut = [self.merger.chunks(t) for t in texts]
         new = list(set().union(*cut).difference(self.ids))
         self._learn(new)
@@ -158,14 +160,15 @@ class Encoder:
         for i, chunks in enumerate(cut):
             ids = " ".join([*map(self.ids.__getitem__, chunks), end])
             text = "".join(map(self.texts.__getitem__, chunks))
-            agreed = True
+            differ = sum(c in self.differing for c in chunks) if self.differing else 0
             if i == 0:
-                theirs = " ".join(map(str, self.merger.library.encode(texts[0], add_eos=True)))
-                agreed, ids = theirs == ids, theirs
-            out.append((ids.count(" ") + 1, ids, text[1:] if text.startswith(" ") else text, agreed))
+                theirs = self.merger.library.encode(texts[0], add_eos=True)
+                differ += ids != " ".join(map(str, theirs))
+            out.append((ids.count(" ") + 1, ids, text[1:] if text.startswith(" ") else text, differ))
         for chunk in new:
             if len(chunk) > LONGEST_KEPT:
                 del self.ids[chunk], self.texts[chunk]
+                self.differing.discard(chunk)
         return out
 
 
@@ -184,7 +187,7 @@ _RESULT = T.StructType(
         T.StructField("n_tokens", T.LongType()),
         T.StructField("ids_sha256", T.StringType()),
         T.StructField("decoded_sha256", T.StringType()),
-        T.StructField("agreed", T.BooleanType()),
+        T.StructField("n_differ", T.LongType()),
     ]
 )
 #: Characters of text that are encoded at a time inside an Arrow batch.
@@ -204,29 +207,31 @@ def _parts(texts: list[str]):
 
 
 def digests(model_file: str):
-    """An Arrow function: text to (n_tokens, ids_sha256, decoded_sha256, agreed)."""
+    """An Arrow function: text to (n_tokens, ids_sha256, decoded_sha256, n_differ)."""
 
     def run(texts: pa.Array) -> pa.Array:
         encoder = _encoder(model_file)
         rows = []
         for part in _parts([t or "" for t in texts.to_pylist()]):
-            for n, ids, text, agreed in encoder.encode(part):
-                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), agreed))
+            for n, ids, text, differ in encoder.encode(part):
+                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), differ))
         columns = list(zip(*rows)) if rows else [[], [], [], []]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_()]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _RESULT.fieldNames())
 
     return F.arrow_udf(run, _RESULT)
 
 
 def encoded(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of each row of ``docs``, with the end id and no begin id.
+    """(key, n_tokens, ids_sha256, decoded_sha256, n_differ) of each row of ``docs``, with the end id and no begin id.
 
     Null texts count as empty and have the end id alone. Repeated rows give repeated results, an empty table an
-    empty one. All other columns of ``docs`` are left out. model_file must be readable under that path on every
-    executor.
+    empty one. Texts of any length are encoded whole, in chunks. All other columns of ``docs`` are left out, so names
+    that clash with the result's do no harm. Pairs of equal score merge from the left, as in the library. n_differ
+    counts the chunks on which the library disagrees; 0 wherever the vocabulary is merge-type. model_file must be
+    readable under that path on every executor.
     """
     common.small_batches(docs.sparkSession)
     return docs.select(F.col(key), digests(model_file)(F.coalesce(F.col(text), F.lit(""))).alias("_e")).select(
-        key, "_e.n_tokens", "_e.ids_sha256", "_e.decoded_sha256"
+        key, "_e.n_tokens", "_e.ids_sha256", "_e.decoded_sha256", "_e.n_differ"
     )

@@ -21,18 +21,41 @@ def test_encoding_and_decoding_equal_the_library(library):
     texts = ODD + ["".join(rng.choice("abcdefgh  ▁éñ.,!?\n12日") for _ in range(rng.randrange(80))) for _ in range(400)]
     encoder = A.Encoder(A.Merger(FILE))
     assert encoder.merger.chunked
-    for text, (n, ids, decoded, agreed) in zip(texts, encoder.encode(texts)):
+    for text, (n, ids, decoded, differ) in zip(texts, encoder.encode(texts)):
         want = library.encode(text, add_eos=True)
         assert (n, ids, decoded) == (len(want), " ".join(map(str, want)), library.decode(want)), repr(text)
-        assert agreed
-    assert encoder.differences == 0
+        assert differ == 0
+    assert not encoder.differing
 
 
-def test_merging_whole_texts_gives_the_same(library):
+@pytest.mark.parametrize("chunked", [True, False])
+def test_the_agenda_alone_equals_the_library_on_whole_documents(spark, sf_dir, library, chunked):
     merger = A.Merger(FILE)
-    for text in ["the quick brown fox", "a  bb   ccc", "don't stop, now!"]:
-        assert merger.merge(A.SPACE + text.replace(" ", A.SPACE)) == library.encode(text)
-        assert merger.decode(library.encode(text)) == text
+    merger.library = None  # nothing of it in the path
+    merger.chunked = chunked
+    docs = [r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    for text in ODD + docs:
+        ids = [i for chunk in merger.chunks(text) for i in merger.merge(chunk)]
+        want = library.encode(text)
+        assert ids == want, repr(text[:80])
+        assert merger.decode(ids) == library.decode(want)
+
+
+def test_the_ids_are_the_agendas_and_differences_are_counted(library):
+    merger = A.Merger(FILE)
+    honest = merger.merge
+    merger.merge = lambda chunk: [5] if chunk == "▁fox" else honest(chunk)
+    (n, ids, _, differ), (_, _, _, none) = A.Encoder(merger).encode(["the fox", "the dog"])
+    assert ids == " ".join(map(str, [*library.encode("the"), 5, 2])) and n == 3
+    assert differ == 2 and none == 0  # the chunk, and the first text as a whole
+
+
+def test_a_very_long_text_of_many_words(library):
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcdeé日\n ") for _ in range(rng.randrange(1, 60))) for _ in range(40_000))
+    ((n, ids, decoded, differ),) = A.Encoder(A.Merger(FILE)).encode([text])
+    want = library.encode(text, add_eos=True)
+    assert (n, ids, differ) == (len(want), " ".join(map(str, want)), 0) and decoded == library.decode(want)
 
 
 def test_the_query_equals_the_library(spark, sf_dir, library):
@@ -43,7 +66,7 @@ def test_the_query_equals_the_library(spark, sf_dir, library):
         ids = library.encode(d["text"], add_eos=True)
         sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
         r = got[d["doc_id"]]
-        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids)))
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], r["n_differ"]) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids)), 0)
 
 
 def test_nulls_repeats_and_empty_tables(spark):

@@ -48,7 +48,7 @@ def test_stages_follow_the_order_and_keep_columns(spark, sf_dir):
 
 def test_run_gives_the_last_stage(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_differ"] and out.count() > 0
 
 
 def test_stages_take_an_empty_table(spark, sf_dir):
