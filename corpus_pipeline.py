@@ -2,7 +2,7 @@
 
 quality_rules and quality_classifier drop what they reject, simhash keeps one document of each group of near
 duplicates, decontamination drops documents that hold any window of benchmark text, sentencepiece encodes what is left. All but
-the last return the columns of ``documents``; the last returns doc_id, n_tokens, ids_sha256 and decoded_sha256.
+the last return the columns of ``documents``; the last returns doc_id, n_tokens, ids_sha256, decoded_sha256 and n_differ.
 """
 
 from __future__ import annotations
