@@ -45,11 +45,21 @@ hits AS (SELECT dw.* FROM dw SEMI JOIN bw ON dw.win = bw.win AND dw.l = bw.l),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(o, o + l)) AS p FROM hits) GROUP BY doc_id),
 found AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS items_sha256
-  FROM (SELECT DISTINCT h.doc_id, CAST(bw.item_id AS VARCHAR) AS i FROM hits h JOIN bw ON h.win = bw.win AND h.l = bw.l) GROUP BY doc_id)
+  FROM (SELECT DISTINCT h.doc_id, CAST(bw.item_id AS VARCHAR) AS i FROM hits h JOIN bw ON h.win = bw.win AND h.l = bw.l) GROUP BY doc_id),
+bp AS (SELECT item_id, len(w) AS n, unnest(range(0, len(w))) AS i, unnest(w) AS x FROM b),
+dp AS (SELECT doc_id, unnest(range(0, len(w))) AS p, unnest(w) AS x FROM d),
+aligned AS (SELECT DISTINCT doc_id, item_id, n, i, p - i + j AS c FROM dp JOIN bp USING (x), (VALUES (-1), (0), (1)) v(j)),
+runs AS (
+  SELECT doc_id, item_id, n, i, count(*) OVER (PARTITION BY doc_id, item_id, c) AS every,
+         count(*) OVER (PARTITION BY doc_id, item_id, c ORDER BY i RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n13,
+         count(*) OVER (PARTITION BY doc_id, item_id, c ORDER BY i RANGE BETWEEN CURRENT ROW AND 11 FOLLOWING) AS n12
+  FROM aligned),
+near AS (SELECT doc_id, count(DISTINCT CAST(item_id AS VARCHAR)) AS n_near FROM runs
+         WHERE CASE WHEN n < 13 THEN every = n ELSE (n13 >= 12 AND i <= n - 13) OR (n12 = 12 AND i BETWEEN 1 AND n - 12) END GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,14 @@ def _words(text):
     return WORD.findall((text or "").translate(LOWER))
 
 
+def _near(w, window, slack):
+    """Whether, at some place, every word of the window but ``slack`` stands within one place of its own."""
+    return any(
+        sum(any(0 <= s + i + j < len(w) and w[s + i + j] == x for j in (-1, 0, 1)) for i, x in enumerate(window)) >= len(window) - slack
+        for s in range(-1, len(w))
+    )
+
+
 def _plain(docs, items):
     windows = {}
     for item_id, text in items:
@@ -27,15 +35,20 @@ def _plain(docs, items):
                 if found := windows.get(tuple(w[i : i + size])):
                     hit.update(range(i, i + size))
                     ids |= found
+        held, near = set(w), set()
+        for window, found in windows.items():
+            slack = int(len(window) == 13)
+            if not found <= near and sum(x in held for x in window) >= len(window) - slack and _near(w, window, slack):
+                near |= found
         sha = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
-        out.append((doc_id, len(w), len(hit), len(ids), sha, bool(hit) and 20 * len(hit) >= len(w)))
+        out.append((doc_id, len(w), len(hit), len(ids), sha, bool(hit) and 20 * len(hit) >= len(w), len(near)))
     return sorted(out, key=repr)
 
 
 def _got(spark, docs, items):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"]
     return sorted((tuple(r) for r in P.contamination(frame, bench).select(*columns).collect()), key=repr)
 
 
@@ -46,6 +59,10 @@ def test_equals_brute_force_on_random_texts(spark):
     items = [(i, line(rng.choice([0, 1, 3, 12, 13, 14, 30]))) for i in range(12)]
     docs = [(i, line(rng.choice([0, 5, 40, 120]))) for i in range(30)]
     docs += [(100 + i, f"{line(20)} {text.upper()}! {line(9)}") for i, (_, text) in enumerate(items)]
+    for i, (_, text) in enumerate(items):
+        w = text.split()
+        if len(w) > 8:
+            docs += [(200 + i, f"{line(4)} {' '.join(w[:7] + w[8:])}"), (300 + i, ' '.join([*w[:5], 'new', *w[5:], line(3)]))]
     assert _got(spark, docs, items) == _plain(docs, items)
 
 
@@ -68,12 +85,24 @@ def test_clashing_columns_are_kept_by_the_stage(spark):
     assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "q r s", 8, "y")]
 
 
-def test_proximity_finds_moved_words(spark):
-    passage = " ".join(f"w{i}" for i in range(13))
-    broken = passage.split()
-    broken.insert(7, "extra")
-    docs = spark.createDataFrame([(1, passage), (2, " ".join(broken)), (3, "w1 w2"), (4, " ".join("w%d z z z z z z z z z z z z z z z z" % i for i in range(13)))], "doc_id long, text string")
-    index = P.build_index(docs)
-    prepared = P.prepare_items(index, spark.createDataFrame([(9, passage)], "item_id long, text string"))
-    assert {r["doc_id"] for r in P.proximity_matches(index, prepared, 3).collect()} >= {1, 2}
-    assert not {3, 4} & {r["doc_id"] for r in P.proximity_matches(index, prepared, 3).collect()}
+def test_proximity_takes_one_word_changed_put_in_or_left_out(spark):
+    passage = [f"w{i}" for i in range(13)]
+    less, more, other = passage.copy(), passage.copy(), passage.copy()
+    del less[6]
+    more.insert(7, "extra")
+    other[0] = "new"
+    twice = other.copy()
+    twice[9] = "new"
+    far = " ".join(f"{x} z z" for x in passage)
+    docs = [(1, " ".join(passage)), (2, " ".join(less)), (3, "a " * 2100 + " ".join(more)), (4, " ".join(other)), (5, " ".join(twice)), (6, far), (7, " ".join(passage[::-1]))]
+    items = [(9, " ".join(passage)), (8, "short one"), (7, "w1 w2 w3")]
+    got = {r[0]: (r[2], r[3], r[6]) for r in _got(spark, docs, items)}
+    assert got == {1: (13, 2, 2), 2: (3, 1, 2), 3: (3, 1, 2), 4: (3, 1, 2), 5: (3, 1, 1), 6: (0, 0, 0), 7: (0, 0, 0)}
+    assert _got(spark, docs, items) == _plain(docs, items)
+
+
+def test_a_passage_repeated_thousands_of_times(spark):
+    passage = " ".join(f"w{i}" for i in range(15))
+    docs = [(1, f"{passage} x " * 3000), (2, passage)]
+    ((_, n_words, n_hit, *_, n_near), _) = _got(spark, docs, [(1, passage), (2, passage + " more")])
+    assert (n_words, n_hit, n_near) == (48_000, 45_000, 2)
