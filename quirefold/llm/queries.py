@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +96,54 @@ def op6_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_links.linked_messages(table(spark, sf_dir, "conversations"), TOOL_SCHEMAS)
 
 
+def _calls(*calls: tuple) -> str:
+    made = [{"id": i, "depends_on": needs, "function": {"name": name, "arguments": arguments}} for i, name, arguments, needs in calls]
+    return json.dumps({"content": None, "tool_calls": made})
+
+
+def _result(identifier: str) -> str:
+    return json.dumps({"tool_call_id": identifier, "content": "done"})
+
+
+def tool_conversations() -> list[tuple]:
+    """(conv_id, turn, role, text): tool conversations, of which the given table has none."""
+    ask = {"query": "mills"}
+    return [
+        (-1, 0, "user", "Find the mills."),
+        (-1, 1, "tool", _result("a")),  # before its call
+        (-1, 2, "assistant", _calls(("a", "search", ask, []), ("b", "search", {"limit": 0, "query": "x"}, []))),
+        (-1, 3, "assistant", _calls(("c", "calculate", '{"expression": "1+1"}', ["b"]))),
+        (-1, 4, "tool", _result("b")),
+        (-1, 5, "tool", _result("none")),
+        (-2, 0, "assistant", _calls(("call_0", "search", ask, []))),  # one identifier, two calls
+        (-2, 1, "tool", _result("call_0")),
+        (-2, 2, "assistant", _calls(("call_0", "unknown", {}, []))),
+        (-2, 3, "tool", _result("call_0")),
+        (-3, 0, "assistant", _calls(("p", "search", {"query": "$ref:q"}, []))),  # a cycle
+        (-3, 1, "assistant", _calls(("q", "search", ask, ["p"]))),
+        (-3, 2, "user", "Well?"),
+    ]
+
+
+def tool_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator on conversations with tool messages, whose result is known."""
+    frame = spark.createDataFrame(tool_conversations(), "conv_id long, turn long, role string, text string")
+    return tool_links.linked_messages(frame, TOOL_SCHEMAS).drop("message_json", "role")
+
+
+TOOL_MESSAGES_SQL = """
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, CAST(position AS BIGINT) AS position, CAST(n_calls AS BIGINT) AS n_calls,
+       CAST(n_linked AS BIGINT) AS n_linked, CAST(n_valid AS BIGINT) AS n_valid, call_id, linked, cyclic
+FROM (VALUES
+  (-1, 0, 0, 0, 0, 0, NULL, NULL, false), (-1, 2, 1, 2, 2, 1, NULL, NULL, false), (-1, 1, 2, 0, 0, 0, 'a', true, false),
+  (-1, 4, 3, 0, 0, 0, 'b', true, false), (-1, 3, 4, 1, 0, 1, NULL, NULL, false), (-1, 5, 5, 0, 0, 0, 'none', false, false),
+  (-2, 0, 0, 1, 1, 1, NULL, NULL, false), (-2, 1, 1, 0, 0, 0, 'call_0', true, false),
+  (-2, 2, 2, 1, 1, 0, NULL, NULL, false), (-2, 3, 3, 0, 0, 0, 'call_0', true, false),
+  (-3, 0, 0, 1, 0, 1, NULL, NULL, true), (-3, 1, 1, 1, 0, 1, NULL, NULL, true), (-3, 2, 2, 0, 0, 0, NULL, NULL, false)
+) t(conv_id, turn, position, n_calls, n_linked, n_valid, call_id, linked, cyclic)
+"""
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundle.read_bundles(warc_bundle.write_bundles(table(spark, sf_dir, "pages")))
 
@@ -131,6 +181,7 @@ QUERIES = {
     "op4_token_sst": op4_token_sst,
     "op5_license_scan": op5_license_scan,
     "op6_tool_links": op6_tool_links,
+    "tool_messages": tool_messages,
     "op7_warc": op7_warc,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
@@ -139,5 +190,6 @@ QUERIES = {
 ORACLES = {
     "op2_decontamination": OP2_SQL,
     "op5_license_scan": license_join.oracle_sql(),
+    "tool_messages": TOOL_MESSAGES_SQL,
     "op7_warc": OP7_SQL,
 }

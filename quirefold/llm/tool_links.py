@@ -4,24 +4,31 @@ A message is a row (conv_id, turn, role, text). A text that is a JSON object may
 name, arguments as an object or as a JSON string, optional ``depends_on`` ids) or, for role ``tool``, a
 ``tool_call_id`` with its content; any other text is plain content.
 
-Calls and results meet in a hash join on (conversation, identifier). The messages of a conversation are ordered
-topologically: a result follows its call, and a call follows the results of the calls that it depends on, by
-``depends_on`` or by a string ``$ref:<id>`` in its arguments. Messages that nothing forces keep their turns. The
-order is found by relaxing the edges between messages, which only tool messages have, so a very long conversation
-is never gathered in one task; places are global row numbers less the first of the conversation.
+Calls and results meet in a hash join on (conversation, identifier). A result belongs to the last call with its
+identifier at or before its turn, else to the first one after it. The messages of a conversation are ordered
+topologically: a result follows its call, and a call follows the calls that it depends on and the last of their
+results, by ``depends_on`` or by a string ``$ref:<id>`` in its arguments. Messages that nothing forces keep their
+turns.
+
+Where every message already stands behind what it depends on, the turns are the order and nothing more is done.
+Otherwise the connected components of the dependencies that hold a misplaced message are ordered, each in one Arrow
+group by Kahn's algorithm. A group holds the edges of one component, never a whole conversation. Places are global row
+numbers less the first of the conversation.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
+from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import byte_postings, common
 
 _REF = re.compile(r"\$ref:(\S+)")
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -38,9 +45,41 @@ _MESSAGE = T.StructType(
 )
 
 
+#: The turn that stands for a null one inside, before all others.
+_FIRST_TURN = -(1 << 63)
+#: Turns of one identifier that one window sorts together.
+TURNS = 1024
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def clean(text: str | None) -> str | None:
+    """``text`` with lone surrogates, which no UTF-8 can hold, spelled as their escapes."""
+    return text if text is None or text.isascii() else _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
     """JSON with sorted keys, no spare space and no escapes but the necessary ones."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return clean(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _finite(digits: str) -> float:
+    if math.isinf(number := float(digits)):
+        raise ValueError("number out of range")
+    return number
+
+
+def _refused(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+def loaded(text: str):
+    """The value of strict JSON; ValueError for NaN, Infinity, numbers out of range and what is nested too deeply."""
+    try:
+        value = json.loads(text, parse_constant=_refused, parse_float=_finite)
+        canonical(value)  # what can't be written again is refused here
+        return value
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
 
 
 def problem_of(value, schema: dict, at: str = "$") -> str | None:
@@ -78,14 +117,16 @@ def problem_of(value, schema: dict, at: str = "$") -> str | None:
 
 
 def _strings(value):
-    if isinstance(value, str):
-        yield value
-    elif isinstance(value, dict):
-        for v in value.values():
-            yield from _strings(v)
-    elif isinstance(value, list):
-        for v in value:
-            yield from _strings(v)
+    """All strings in a value, by a list instead of calls, as values may be deep."""
+    left = [value]
+    while left:
+        value = left.pop()
+        if isinstance(value, str):
+            yield value
+        elif isinstance(value, dict):
+            left += value.values()
+        elif isinstance(value, list):
+            left += value
 
 
 def _call(raw, schemas: dict[str, dict]) -> tuple[dict, dict]:
@@ -96,7 +137,7 @@ def _call(raw, schemas: dict[str, dict]) -> tuple[dict, dict]:
     problem, arguments = None, given
     if isinstance(given, str):
         try:
-            arguments = json.loads(given)
+            arguments = loaded(given)
         except ValueError:
             problem = "$: not JSON"
     identifier = raw.get("id") if isinstance(raw.get("id"), str) else None
@@ -107,7 +148,7 @@ def _call(raw, schemas: dict[str, dict]) -> tuple[dict, dict]:
     named = raw.get("depends_on") if isinstance(raw.get("depends_on"), list) else []
     needs = {x for x in named if isinstance(x, str)} | {m for s in _strings(arguments) for m in _REF.findall(s)}
     message = {"id": identifier, "function": {"name": name, "arguments": arguments}, "type": "function"}
-    return message, {"id": identifier, "problem": problem, "needs": sorted(needs)}
+    return message, {"id": clean(identifier), "problem": clean(problem), "needs": sorted(map(clean, needs))}
 
 
 def parse(role: str | None, text: str | None, schemas: dict[str, dict]) -> dict:
@@ -115,8 +156,8 @@ def parse(role: str | None, text: str | None, schemas: dict[str, dict]) -> dict:
     body = None
     if text and text.lstrip()[:1] == "{":
         try:
-            body = json.loads(text)
-        except (ValueError, RecursionError):
+            body = loaded(text)
+        except ValueError:
             body = None
     message, calls, answers = {"content": text, "role": role}, [], None
     if isinstance(body, dict) and isinstance(body.get("tool_calls"), list):
@@ -126,7 +167,10 @@ def parse(role: str | None, text: str | None, schemas: dict[str, dict]) -> dict:
     elif isinstance(body, dict) and role == "tool" and isinstance(body.get("tool_call_id"), str):
         answers = body["tool_call_id"]
         message = {"content": body.get("content"), "role": role, "tool_call_id": answers}
-    return {"json": canonical(message), "calls": calls, "answers": answers}
+    try:
+        return {"json": canonical(message), "calls": calls, "answers": clean(answers)}
+    except RecursionError:  # arguments in a string, deep in themselves, under the levels of the message
+        return {"json": canonical({"content": text, "role": role}), "calls": [], "answers": None}
 
 
 def _parser(schemas: dict[str, dict]):
@@ -144,74 +188,122 @@ def _parser(schemas: dict[str, dict]):
     return F.arrow_udf(run, _MESSAGE)
 
 
-_NODE = ["conv_id", "turn", "h"]
+_NODE = ["conv_id", "t", "h"]
+
+
+def _as_of(asked: DataFrame, calls: DataFrame) -> DataFrame:
+    """``asked`` (conv_id, id, t), distinct, with (a_t, a_h): the last call with that id at or before t, else the first after.
+
+    Calls of one turn count as one, the last. Turns are dealt into stretches, so a window sorts a stretch of an
+    identifier and another one its stretches; an identifier that all calls of a long conversation use is split.
+    """
+    stretch = F.floor(F.col("t") / TURNS).alias("s")
+    at = F.struct("t", "h")
+    called = calls.groupBy("conv_id", "id", "t").agg(F.max("h").alias("h")).select("conv_id", "id", "t", at.alias("call"), F.lit(0).alias("kind"))
+    points = called.unionByName(asked.select("conv_id", "id", "t", F.lit(None).cast("struct<t:bigint,h:bigint>").alias("call"), F.lit(1).alias("kind")))
+    points = common.stored(points.select("*", stretch), "points")
+    edges = points.groupBy("conv_id", "id", "s").agg(F.min("call").alias("_low"), F.max("call").alias("_high"))
+    over = Window.partitionBy("conv_id", "id").orderBy("s")
+    near = edges.select(
+        "conv_id", "id", "s",
+        F.last("_high", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+        F.first("_low", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
+    )
+    w = Window.partitionBy("conv_id", "id", "s").orderBy("t", "kind")
+    placed = points.select(
+        "conv_id", "id", "s", "t", "kind",
+        F.last("call", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_before"),
+        F.first("call", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    call = F.coalesce("_before", "_earlier", "_after", "_later")
+    found = placed.where("kind = 1").join(near, ["conv_id", "id", "s"]).select("conv_id", "id", "t", call.alias("_call")).where(F.col("_call").isNotNull())
+    return found.select("conv_id", "id", "t", F.col("_call.t").alias("a_t"), F.col("_call.h").alias("a_h"))
 
 
 def _edges(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges between messages, (conv_id, id) of answered calls)."""
-    calls = marked.select(*_NODE, F.explode("m.calls").alias("c")).where(F.col("c.id").isNotNull())
-    calls = calls.select(*_NODE, F.col("c.id").alias("id"), F.col("c.needs").alias("needs"))
-    # an identifier that is used again belongs to its first call
-    first = calls.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "h")).alias("at"))
-    first = first.select("conv_id", "id", F.col("at.turn").alias("a_turn"), F.col("at.h").alias("a_h"))
-    results = marked.where(F.col("m.answers").isNotNull()).select(*_NODE, F.col("m.answers").alias("id"))
-    linked = common.stored(results.join(first, ["conv_id", "id"]).select("conv_id", "id", "a_turn", "a_h", "turn", "h"), "linked")
-    needs = calls.select(*_NODE, F.explode("needs").alias("id"))
-    after_result = needs.join(linked.select("conv_id", "id", F.col("turn").alias("a_turn"), F.col("h").alias("a_h")), ["conv_id", "id"])
-    after_call = needs.join(first, ["conv_id", "id"])
-    columns = ["conv_id", "a_turn", "a_h", "turn", "h"]
-    edges = linked.select(*columns).unionByName(after_result.select(*columns)).unionByName(after_call.select(*columns)).distinct()
-    return common.stored(edges, "edges"), linked
+    """(edges between messages, results with their calls); both stored."""
+    calls = marked.select(*_NODE, F.explode("m.calls").alias("c")).select(*_NODE, F.col("c.id").alias("id"), F.col("c.needs").alias("needs"))
+    calls = common.stored(calls.where(F.col("id").isNotNull() | (F.size("needs") > 0)).distinct(), "calls")
+    named = calls.where(F.col("id").isNotNull())
+    results = common.stored(marked.where(F.col("m.answers").isNotNull()).select(*_NODE, F.col("m.answers").alias("id")).distinct(), "results")
+    linked = results.join(_as_of(results.select("conv_id", "id", "t").distinct(), named), ["conv_id", "id", "t"])
+    linked = common.stored(linked.select("conv_id", "id", "a_t", "a_h", "t", "h"), "linked")
+    needs = common.stored(calls.select(*_NODE, F.explode("needs").alias("id")).distinct(), "needs")
+    after_call = needs.join(_as_of(needs.select("conv_id", "id", "t").distinct(), named), ["conv_id", "id", "t"])
+    after_call = common.stored(after_call.select("conv_id", "id", "a_t", "a_h", "t", "h"), "after-call")
+    answered = linked.groupBy("conv_id", "id", "a_t", "a_h").agg(F.max(F.struct("t", "h")).alias("_last"))
+    after_result = after_call.join(answered, ["conv_id", "id", "a_t", "a_h"]).select(
+        "conv_id", F.col("_last.t").alias("a_t"), F.col("_last.h").alias("a_h"), "t", "h"
+    )
+    columns = ["conv_id", "a_t", "a_h", "t", "h"]
+    edges = linked.select(*columns).unionByName(after_call.select(*columns)).unionByName(after_result)
+    return common.stored(edges.where("a_t <> t or a_h <> h").distinct(), "edges"), linked
 
 
-def _keys(edges: DataFrame) -> DataFrame:
-    """(conv_id, turn, h, eff, depth, cyclic) of the messages with edges.
+def ordered_nodes(edges: list[tuple]) -> dict[tuple, tuple | None]:
+    """Kahn's algorithm on edges ((conv, t, h), (conv, t, h)): (effective turn, depth) of each node, None on or behind a cycle.
 
-    A key is (effective turn, depth); the key of a message is the larger of (its turn, 0) and, over its
-    predecessors, (their turn, their depth + 1). Messages on or behind a cycle never settle: their depth passes the
-    number of edges of the conversation, and they keep their turn.
+    The key of a message is the larger of (its turn, 0) and, over its predecessors, (their turn, their depth + 1).
     """
-    most = edges.groupBy("conv_id").agg(F.count("*").alias("most"))
-    ends = edges.select(*_NODE).unionByName(edges.select("conv_id", F.col("a_turn").alias("turn"), F.col("a_h").alias("h"))).distinct()
-    start = F.struct(F.col("turn").alias("eff"), F.lit(0).cast("long").alias("depth"))
-    keys = common.stored(ends.join(most, "conv_id").select(*_NODE, "most", start.alias("key")), "keys")
-    while True:
-        from_ends = keys.select("conv_id", F.col("turn").alias("a_turn"), F.col("h").alias("a_h"), F.col("key").alias("a_key"))
-        pushed = (
-            edges.join(from_ends, ["conv_id", "a_turn", "a_h"])
-            .groupBy(*_NODE)
-            .agg(F.max(F.struct(F.col("a_key.eff").alias("eff"), (F.col("a_key.depth") + 1).alias("depth"))).alias("pushed"))
-        )
-        moved = (F.col("pushed") > F.col("key")) & (F.col("key.depth") <= F.col("most"))
-        nxt = keys.join(pushed, _NODE, "left").select(
-            *_NODE, "most", F.when(moved, F.col("pushed")).otherwise(F.col("key")).alias("key"), F.coalesce(moved, F.lit(False)).alias("moved")
-        )
-        nxt = common.stored(nxt, "keys")
-        keys = nxt.drop("moved")
-        if not nxt.where("moved").limit(1).count():
-            break
-    cyclic = F.col("key.depth") > F.col("most")
-    return keys.select(
-        *_NODE,
-        F.when(cyclic, F.col("turn")).otherwise(F.col("key.eff")).alias("eff"),
-        F.when(cyclic, F.lit(0)).otherwise(F.col("key.depth")).alias("depth"),
-        cyclic.alias("cyclic"),
-    )
+    after, waits = defaultdict(list), defaultdict(int)
+    for a, b in edges:
+        after[a].append(b)
+        waits[b] += 1
+        waits[a] += 0
+    keys = {n: (n[1], 0) for n in waits}
+    ready, settled = [n for n, count in waits.items() if not count], {}
+    while ready:
+        node = ready.pop()
+        turn, depth = settled[node] = keys[node]
+        for nxt in after[node]:
+            keys[nxt] = max(keys[nxt], (turn, depth + 1))
+            waits[nxt] -= 1
+            if not waits[nxt]:
+                ready.append(nxt)
+    return {n: settled.get(n) for n in waits}
+
+
+def _keys(edges: DataFrame) -> DataFrame:
+    """(conv_id, t, h, eff, depth, cyclic) of the messages in components with a misplaced message."""
+    node = lambda t, h: F.xxhash64("conv_id", t, h)
+    misplaced = "a_t >= t"
+    concerned = edges.where(misplaced).select("conv_id").distinct()
+    edges = common.stored(edges.join(concerned, "conv_id", "left_semi").withColumns({"u": node("a_t", "a_h"), "v": node("t", "h")}), "concerned")
+    schema = edges.select("conv_id", "t", "h", F.col("t").alias("eff"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("cyclic")).schema
+    if edges.isEmpty():
+        return edges.sparkSession.createDataFrame([], schema)
+    pairs = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v")
+    roots = byte_postings.components(pairs)
+    rooted = common.stored(edges.join(roots, F.col("v") == F.col("node"), "left").select("conv_id", "a_t", "a_h", "t", "h", F.coalesce("root", "v").alias("root")), "rooted")
+    wanted = rooted.where(misplaced).select("root").distinct()
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = zip(*(table.column(c).to_pylist() for c in ("conv_id", "a_t", "a_h", "t", "h")))
+        found = ordered_nodes([((c, at, ah), (c, t, h)) for c, at, ah, t, h in rows])
+        made = [(c, t, h, *(key or (t, 0)), key is None) for (c, t, h), key in found.items()]
+        kinds = [table.schema.field("conv_id").type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*made), kinds)], names=schema.names)
+
+    return common.stored(rooted.join(wanted, "root", "left_semi").groupBy("root").applyInArrow(run, schema), "keys")
 
 
 def linked_messages(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row per message: conv_id, turn, role, position, n_calls, n_linked, n_valid, call_id, linked, cyclic, message_json.
 
     position counts from 0 within the conversation. n_linked are the calls with a result, n_valid those whose
-    arguments satisfy the schema of a known function. linked tells of a result whether its call exists. Null and
-    empty texts are plain content; null roles stay null; null turns come first; messages of a null conv_id form one
-    conversation without links. Repeated rows keep a place each. Columns besides the four are left out; an empty
-    table gives an empty one.
+    arguments satisfy the schema of a known function. linked tells of a result whether it has a call. cyclic marks
+    messages on or behind a cycle of dependencies; they keep their turns. Null and empty texts are plain content, and
+    so is what is no strict JSON (NaN, Infinity, numbers out of range, nesting too deep for the parser), however long;
+    in canonical JSON lone surrogates keep their escapes. Null roles stay null; null turns come first and link like
+    any other; messages of a null conv_id form one conversation without links. Equal turns go by role, then by a hash
+    of the message. Repeated rows keep a place each and share their links. Columns besides the four are left out,
+    whatever their names; an empty table gives an empty one.
     """
     common.small_batches(messages.sparkSession)
     marked = messages.select(
         F.col("conv_id"), F.col("turn").cast("long").alias("turn"), "role",
-        F.xxhash64("role", "text").alias("h"), _parser(schemas)("role", "text").alias("m"),
+        F.coalesce(F.col("turn").cast("long"), F.lit(_FIRST_TURN)).alias("t"),
+        F.xxhash64(F.col("role").isNull(), "role", F.col("text").isNull(), "text").alias("h"), _parser(schemas)("role", "text").alias("m"),
     )
     marked = common.stored(marked, "messages")
     edges, linked = _edges(marked)
@@ -220,8 +312,8 @@ def linked_messages(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     # the tables of tool messages are small where few messages are, and never hold plain ones
     rows = marked.join(keys, _NODE, "left").join(results, _NODE, "left").join(_answered_calls(marked, linked), _NODE, "left")
     placed = rows.select(
-        "conv_id", "turn", "role", "h",
-        F.coalesce("eff", "turn").alias("eff"),
+        "conv_id", "turn", "t", "role", "h",
+        F.coalesce("eff", "t").alias("eff"),
         F.coalesce("depth", F.lit(0)).alias("depth"),
         F.size("m.calls").cast("long").alias("n_calls"),
         F.coalesce("_n_linked", F.lit(0)).cast("long").alias("n_linked"),
@@ -232,7 +324,7 @@ def linked_messages(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         F.col("m.json").alias("message_json"),
     )
     placed = common.stored(placed, "placed")
-    numbered, _ = common.numbered(placed, ["conv_id", "eff", "depth", "turn", "role", "h"], placed.count(), "row_no")
+    numbered, _ = common.numbered(placed, ["conv_id", "eff", "depth", "t", "role", "h"], placed.count(), "row_no")
     numbered = common.stored(numbered, "numbered")
     first = common.stored(numbered.groupBy(F.col("conv_id").alias("_conv")).agg(F.min("row_no").alias("_first_row")), "first-rows")
     out = numbered.join(common.maybe_broadcast(first, first.count()), F.col("conv_id").eqNullSafe(F.col("_conv")))
@@ -245,5 +337,5 @@ def linked_messages(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 def _answered_calls(marked: DataFrame, linked: DataFrame) -> DataFrame:
     """(message, number of its calls that have a result)."""
     calls = marked.select(*_NODE, F.explode("m.calls").alias("c")).select(*_NODE, F.col("c.id").alias("id")).distinct()
-    owners = linked.select("conv_id", "id", F.col("a_turn").alias("turn"), F.col("a_h").alias("h")).distinct()
+    owners = linked.select("conv_id", "id", F.col("a_t").alias("t"), F.col("a_h").alias("h")).distinct()
     return calls.join(owners, [*_NODE, "id"], "left_semi").groupBy(*_NODE).agg(F.count("*").alias("_n_linked"))
