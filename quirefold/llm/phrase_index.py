@@ -30,7 +30,7 @@ RAREST = 3
 #: Places by which a word of a near match may be off its own.
 SLOP = 1
 #: Alignments that are gathered together, besides those within 2 * SLOP.
-BAND = 8
+BAND = 16
 #: Words of a document that windows are compared with at a time.
 BLOCK = 1024
 
@@ -97,7 +97,7 @@ def missing(size: Column, window: int) -> Column:
 
 
 def candidates(index: DataFrame, prepared: DataFrame, key: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """(key, item_id, start, win): the windows whose rarest terms, but for a missing one, meet within SLOP of an alignment.
+    """(key, item_key, start, off, len): the windows whose rarest terms, but for a missing one, meet within SLOP of an alignment.
 
     Alignments are gathered in bands of BAND + 2 * SLOP, which overlap by 2 * SLOP, so each alignment stands with all
     its neighbours in one band. A match that lacks one word lacks one rarest term at most, so no match is left out.
@@ -112,16 +112,18 @@ def candidates(index: DataFrame, prepared: DataFrame, key: str = "doc_id", windo
     )
     # most bands meet one seed; they go before the join
     met = met.where(F.size(F.array_distinct(F.col("met.ipos"))) >= F.col("least"))
-    small = common.maybe_broadcast_arrays(prepared.drop("toks"), F.size("iw") + 6 * F.size("wins"))
-    centre = F.explode(F.sequence(F.col("band") * BAND + SLOP, F.col("band") * BAND + SLOP + BAND - 1)).alias("diag")
+    wins = prepared.select("item_key", "wins")
+    small = common.maybe_broadcast_arrays(wins, 6 * F.size("wins"))
+    around = F.flatten(F.transform("met", lambda m: F.sequence(m["diag"] - SLOP, m["diag"] + SLOP)))
+    centre = F.explode(F.filter(F.array_distinct(around), lambda d: F.floor((d - SLOP) / BAND) == F.col("band"))).alias("diag")
     near = F.transform(F.filter("met", lambda m: F.abs(m["diag"] - F.col("diag")) <= SLOP), lambda m: m["ipos"])
     lacking = lambda w: F.size(F.array_except(w["seeds"], F.col("near")))
-    found = met.select(key, "item_key", "met", centre).select(key, "item_key", "diag", near.alias("near")).where(F.size("near") > 0)
+    found = met.select(key, "item_key", "met", "band", centre).select(key, "item_key", "diag", near.alias("near"))
     found = found.join(small, "item_key").select(
-        key, "item_id", "iw", "diag",
+        key, "item_key", "diag",
         F.explode(F.filter("wins", lambda w: (F.col("diag") + w["off"] >= -SLOP) & (lacking(w) <= missing(w["len"], window)))).alias("w"),
     )
-    return found.select(key, "item_id", (F.col("diag") + F.col("w.off")).alias("start"), F.slice("iw", F.col("w.off") + 1, F.col("w.len")).alias("win"))
+    return found.select(key, "item_key", (F.col("diag") + F.col("w.off")).alias("start"), "w.off", "w.len")
 
 
 def _blocks(docs: DataFrame, found: DataFrame, key: str, text: str, window: int) -> DataFrame:
@@ -144,17 +146,18 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     """
     index = build_index(docs.select(key, text), key, text)
     prepared = prepare_items(index, items, window)
-    found = common.stored(candidates(index, prepared, key, window).distinct(), "candidates")
-    placed = found.select(F.col(key).alias("_k"), "item_id", "start", "win", F.floor(F.greatest(F.col("start") - SLOP, F.lit(0)) / BLOCK).cast("int").alias("_at"))
-    small = common.maybe_broadcast_arrays(placed, F.size("win") + 4)
-    rel = (F.col("start") - F.col("_b") * BLOCK).cast("int")
-    here = lambda word, i: reduce(lambda a, b: a | b, [F.coalesce(F.get("_w", rel + i + j) == word, F.lit(False)) for j in range(-SLOP, SLOP + 1)])
-    n_here = F.size(F.filter(F.transform("win", here), lambda x: x))
-    size = F.size("win")
-    exact = F.when(rel >= 0, F.slice("_w", rel + 1, size) == F.col("win")).otherwise(F.lit(False))
+    found = common.stored(candidates(index, prepared, key, window), "candidates")
+    narrow = found.select(F.col(key).alias("_k"), "item_key", "start", "off", "len", F.floor(F.greatest(F.col("start") - SLOP, F.lit(0)) / BLOCK).cast("int").alias("_at"))
+    small = common.maybe_broadcast(narrow, narrow.count(), 1_000_000)
     blocks = _blocks(docs, found, key, text, window)
     rows = blocks.join(small, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_at")))
-    judged = rows.select("_key", "_h", "item_id", "start", size.alias("len"), exact.alias("exact"), (n_here >= size - missing(size, window)).alias("near"))
+    rows = rows.join(common.maybe_broadcast_arrays(prepared.select("item_key", "item_id", "iw"), F.size("iw")), "item_key")
+    rel = (F.col("start") - F.col("_b") * BLOCK).cast("int")
+    win = F.slice("iw", F.col("off") + 1, F.col("len"))
+    here = lambda word, i: reduce(lambda a, b: a | b, [F.coalesce(F.get("_w", rel + i + j) == word, F.lit(False)) for j in range(-SLOP, SLOP + 1)])
+    n_here = F.size(F.filter(F.transform(win, here), lambda x: x))
+    exact = F.when(rel >= 0, F.slice("_w", rel + 1, F.col("len")) == win).otherwise(F.lit(False))
+    judged = rows.select("_key", "_h", "item_id", "start", "len", exact.alias("exact"), (n_here >= F.col("len") - missing(F.col("len"), window)).alias("near"))
     # stored before the filter, which would be pushed into the join
     return common.stored(judged, "matches").where("exact or near").drop("near")
 
