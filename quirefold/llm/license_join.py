@@ -12,7 +12,7 @@ rarest in the corpus first. With ``need`` words required of a template of ``size
 * length filter: the block has ``need`` template words at all;
 * positional filter: the words after the first shared one, on the side that has fewer, suffice to reach ``need``.
 
-What passes is counted exactly. Windows are looked at only in documents that hold ``need`` words of the template at
+What passes is counted exactly, and must hold the words that name the license. Windows are looked at only in documents that hold ``need`` words of the template at
 all. The filters only leave out pairs that cannot match, so every match is found.
 
 Templates that differ in a word or two match each other's notices. Such rivals make a family, and in each block only
@@ -52,6 +52,17 @@ VARIANTS = [
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("cc-by-nd", "Licensed under CC BY-ND 4.0"),
 ]
+#: Words that tell a license from others with the same wording: a block must hold those of them that its template has.
+NAMES = {
+    "mit": {"mit"},
+    "apache": {"apache"},
+    "gpl": {"gnu"},
+    "cc-by": {"cc", "by"},
+    "cc-by-nc": {"cc", "by", "nc"},
+    "cc-by-sa": {"cc", "by", "sa"},
+    "cc-by-nd": {"cc", "by", "nd"},
+    "mpl": {"mozilla"},
+}
 #: Base phrases and their labels.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
@@ -60,6 +71,11 @@ def template_words(text: str) -> list[str]:
     return sorted(set(re.findall("[a-z0-9]+", text.lower())))
 
 
+def names_of(label: str, text: str) -> list[str]:
+    """The words of a template that a block can't do without."""
+    return sorted(NAMES.get(label, set()) & set(template_words(text)))
+
+
 def needed(size: int) -> int:
     """Words of a template of ``size`` words that make a match: four fifths, rounded up."""
     return (4 * size + 4) // 5
@@ -116,10 +132,9 @@ def similarity_join(blocks: DataFrame, templates: list[tuple[str, str]]) -> Data
     for number, (label, ws) in enumerate(sets):
         ranked = sorted(ws, key=rank.__getitem__)
         need = needed(len(ws))
-        whole.append((number, family[number], label, ranked))
+        whole.append((number, family[number], label, ranked, names_of(*templates[number])))
         prefixes += [(w, number, at, len(ws), need) for at, w in enumerate(ranked[: len(ws) - need + 1])]
     spark = blocks.sparkSession
-    # as many rows as the templates have prefix words: fixed by the template list
     index = spark.createDataFrame(prefixes, "t string, template int, at int, size int, need int")
     least = min(p[4] for p in prefixes)
     ordered = records.where(F.size("toks") >= least).select(*keys, F.array_intersect(literal(order), "toks").alias("toks"))
@@ -128,17 +143,17 @@ def similarity_join(blocks: DataFrame, templates: list[tuple[str, str]]) -> Data
         ordered.where(F.arrays_overlap("toks", literal(rare)))
         .select(*keys, "toks", F.posexplode("toks").alias("place", "t"))
         .where(F.col("t").isin(rare))
-        .join(F.broadcast(index), "t")
+        .join(common.maybe_broadcast(index, len(prefixes)), "t")
         .where(F.size("toks") >= F.col("need"))
         .where(1 + F.least(F.col("size") - F.col("at") - 1, F.size("toks") - F.col("place") - 1) >= F.col("need"))
         .select(*keys, "toks", "template", "need", "size")
         .distinct()
     )
-    full = spark.createDataFrame(whole, "template int, family int, label string, ws array<string>")
+    full = spark.createDataFrame(whole, "template int, family int, label string, ws array<string>, names array<string>")
     overlap = F.size(F.array_intersect("ws", "toks"))
     return (
-        shared.join(F.broadcast(full), "template")
-        .where(overlap >= F.col("need"))
+        shared.join(common.maybe_broadcast_arrays(full, F.size("ws")), "template")
+        .where((overlap >= F.col("need")) & (F.size(F.array_except("names", "toks")) == 0))
         .select(*keys, "family", "label", (overlap / F.col("size")).alias("containment"), "size")
     )
 
@@ -170,7 +185,13 @@ def wrapped_notices(texts: DataFrame, templates: list[tuple[str, str]], text: st
     for family, numbers in groups.items():
         fits = reduce(lambda a, b: a | b, [F.size(F.array_intersect(literal(sets[n]), "_toks")) >= needed(len(sets[n])) for n in numbers])
         members = [
-            F.struct(F.lit(templates[n][0]).alias("label"), literal(sets[n]).alias("ws"), F.lit(needed(len(sets[n]))).alias("need")) for n in numbers
+            F.struct(
+                F.lit(templates[n][0]).alias("label"),
+                literal(sets[n]).alias("ws"),
+                literal(names_of(*templates[n])).cast("array<string>").alias("names"),
+                F.lit(needed(len(sets[n]))).alias("need"),
+            )
+            for n in numbers
         ]
         width = F.lit(max(span(templates[n][1]) for n in numbers)).alias("span")
         every = literal(sorted({w for n in numbers for w in sets[n]})).alias("ws")
@@ -200,7 +221,7 @@ def wrapped_notices(texts: DataFrame, templates: list[tuple[str, str]], text: st
         .withColumn("_hits", F.filter(placed, lambda x: F.array_contains(t["ws"], x["w"])))
         .select(*keys, "_t", F.explode_outer(crossing).alias("_x"))
         .select(*keys, t["family"].alias("family"), "_x", F.explode_outer(t["members"]).alias("_m"))
-        .where(shared >= F.col("_m")["need"])
+        .where((shared >= F.col("_m")["need"]) & (F.size(F.array_except(F.col("_m")["names"], F.col("_x")["ws"])) == 0))
         .select(*keys, "_x.at", "_x.first", "_x.last", "family", "_m.label", (shared / F.size("_m.ws")).alias("containment"), F.size("_m.ws").alias("size"))
     )
     return winners(pairs, [*keys, "at", "first", "last"]).drop("at")
@@ -213,7 +234,8 @@ def scanned(
 
     score is the largest containment of a matching template, and 1 where a base phrase stands. Null texts count as
     empty: no words, no labels, score 0. Repeated rows give equal results, rows that share a key are scanned each
-    on its own text, and a null key is kept.
+    on its own text, and a null key is kept. Templates that tie in a block both give their labels. Long texts are
+    scanned whole; an empty table gives an empty one. Other columns of ``docs`` are left out, whatever their names.
     """
     marked = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     marked = marked.withColumn("_text_hash", F.xxhash64("_text"))
@@ -257,9 +279,12 @@ def scanned(
     )
 
 
-def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES) -> str:
-    """The result for lines by comparing every line with every template. Windows over line ends and VARIANTS are not in it."""
-    values = ", ".join(f"({i}, '{label}', [{', '.join(repr(w) for w in template_words(text))}])" for i, (label, text) in enumerate(templates))
+def oracle_sql(templates: list[tuple[str, str]] = [*TEMPLATES, *VARIANTS]) -> str:
+    """The result for lines by comparing every line with every template. Windows over line ends are not in it."""
+    listed = lambda ws: f"CAST([{', '.join(map(repr, ws))}] AS VARCHAR[])"
+    values = ", ".join(
+        f"({family}, '{label}', {listed(template_words(text))}, {listed(names_of(label, text))})" for family, (label, text) in zip(families(templates), templates)
+    )
     places = " UNION ALL ".join(
         f"SELECT doc_id, i, '{label}' AS label FROM spots WHERE " + " AND ".join(f"w[i + {k + 1}] = '{p}'" for k, p in enumerate(phrase.split()))
         for phrase, label in PHRASES
@@ -267,14 +292,16 @@ def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES) -> str:
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     return f"""
-WITH t(template, label, ws) AS (VALUES {values}),
+WITH t(family, label, ws, names) AS (VALUES {values}),
 d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all({lower.format("coalesce(text, '')")}, {word}) AS w FROM documents),
 spots AS (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d WHERE list_contains(w, 'license')),
 places AS ({places}),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS ls FROM places GROUP BY doc_id),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all({lower.format("line")}, {word})) AS w
-          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
-pairs AS (SELECT doc_id, label, len(list_intersect(ws, w)) / len(ws) AS c FROM lines, t WHERE len(list_intersect(ws, w)) >= (4 * len(ws) + 4) // 5),
+lines AS (SELECT doc_id, n, list_distinct(regexp_extract_all({lower.format("line")}, {word})) AS w
+          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM d)),
+pairs AS (SELECT doc_id, label, len(list_intersect(ws, w)) / len(ws) AS c FROM lines, t
+          WHERE len(list_intersect(ws, w)) >= (4 * len(ws) + 4) // 5 AND len(list_intersect(names, w)) = len(names)
+          QUALIFY rank() OVER (PARTITION BY doc_id, n, family ORDER BY c DESC, len(ws) DESC) = 1),
 found AS (SELECT doc_id, list(DISTINCT label) AS ls, max(c) AS c FROM pairs GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
        CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

@@ -22,7 +22,7 @@ def _plain(docs):
             for label, template in L.TEMPLATES:
                 ws = L.template_words(template)
                 shared = len(have & set(ws))
-                if shared >= L.needed(len(ws)):
+                if shared >= L.needed(len(ws)) and have >= set(L.names_of(label, template)):
                     found.add(label)
                     best = max(best, shared / len(ws))
         base = {label for _, label in places}
@@ -74,8 +74,9 @@ def _windows(text):
     for label, template in L.TEMPLATES:
         ws = set(L.template_words(template))
         for i in range(len(w)):
-            c = len(ws & set(w[i : i + L.span(template)]))
-            if c >= L.needed(len(ws)):
+            have = set(w[i : i + L.span(template)])
+            c = len(ws & have)
+            if c >= L.needed(len(ws)) and have >= set(L.names_of(label, template)):
                 found[label] = max(found.get(label, 0), c / len(ws))
     return found
 
@@ -103,3 +104,22 @@ def test_variants_of_a_short_notice_keep_their_own_labels(spark):
     got = L.scanned(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["labels"] for r in got} == want
     assert {r["score"] for r in got if r["doc_id"] is not None and r["doc_id"] % 10 == 0 and r["doc_id"] < 90} == {1.0}
+
+
+def test_other_licenses_of_the_same_wording_get_no_false_label(spark):
+    texts = [
+        "Licensed under the Educational Community License, Version 2.0",
+        "Licensed under the Open Software License version 2.0",
+        "Licensed under the\nEclipse Public License, Version 2.0",
+        "This Source Code Form is subject to the terms of the Common Public License, v. 2.0",
+        "Licensed under CC 4.0",
+        "You may not use this file except in compliance with the License. You may obtain a copy of the License at example.org",
+    ]
+    got = L.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r["labels"], r["score"]) for r in got] == [("", 0.0)] * len(texts)
+
+
+def test_a_very_long_text_is_scanned_to_its_end(spark):
+    text = "some words and more\n" * 60_000 + WRAPPED["bsd"]
+    (row,) = L.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row["labels"] == "bsd" and row["n_words"] > 240_000
