@@ -5,7 +5,8 @@ Two 64-bit fingerprints that differ in at most 3 bits differ in at most 3 of the
 would meet a 256th of all fingerprints at a time, so lists are kept for sets of k positions that any 5 of the 8
 positions must contain one of: for k = 3 the eight triples inside either half of the positions, for larger
 corpora k = 4 or 5. A pair met in a list is tallied over all 8 positional bytes, kept with 5 or more, and then
-verified on the bits.
+verified on the bits. The tally is kept per pair while a list is read, not in a table of pairs: lists of single bytes
+would write n * n / 64 pairs for n fingerprints (README has the figures).
 
 Inside a list only the edges of a spanning forest are emitted, never all pairs. A list longer than ``LIST_CAP``
 is dealt to several tasks as pairs of blocks, each block pair again giving a forest only; no list is cut.
@@ -232,7 +233,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Null texts, empty texts and texts without words share fingerprint zero and are linked like any other. Nodes are
     the distinct fingerprints, whatever their keys, so rows with a null key pass links on; they get a null
     component_id only when no keyed row is in reach. The fingerprints of a repeated key are joined by the shared key.
-    An empty table gives an empty table.
+    An empty table gives an empty table. Texts of any length are hashed whole; a bit that is set in exactly half the
+    hashes is 0; equal keys and fingerprints are one. Other columns of ``docs`` are left out, whatever their names.
+    Near copies are found as far as the fingerprint shows them: a short text with one word changed often differs in
+    more than BITS bits, and then it is no link.
     """
     common.small_batches(docs.sparkSession)
     prints = common.stored(docs.select(F.col(key).cast("long").alias("key"), fingerprint(F.coalesce(F.col(text), F.lit(""))).alias("fp")), "prints")

@@ -293,8 +293,11 @@ def judged(docs: DataFrame, labels: DataFrame, carry: list[str], key: str = "doc
 
     Null and empty texts have no words and fail the base rules. Rows of a stratum without labels, or of a null
     stratum, are judged by the base rules only. Repeated rows get equal verdicts. An empty label table switches
-    all learned cutoffs off; an empty document table gives an empty table. The measures are stored once, for the
-    calibration and for the verdicts.
+    all learned cutoffs off; an empty document table gives an empty table. Shares equal to a cutoff are over it;
+    strata with equally many labels go by name. Texts of any length are measured whole, a slice of a batch at a time.
+    Columns that are not in ``carry`` are left out; ``_m``, ``_base_failed`` and ``_kept`` are the operator's names, so
+    ``keep_good`` packs rows whose columns may clash. The measures are stored once, for the calibration and for the
+    verdicts.
     """
     common.small_batches(docs.sparkSession)
     columns = list(dict.fromkeys([key, stratum, *carry]))

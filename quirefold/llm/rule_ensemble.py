@@ -190,7 +190,11 @@ def held_out(key: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """Fit on the labelled rows outside the held-out third. A row with two labels takes the lower one."""
+    """Fit on the labelled rows outside the held-out third. A row with two labels takes the lower one.
+
+    Of documents with the same key the one with the least statistics counts, so repeated rows add nothing. Splits
+    that gain the same go to the first statistic and cut; keys whose hashes tie go by key.
+    """
     known = (
         labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col(key)))
         .groupBy(F.col(key).alias("_key"))
@@ -198,9 +202,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         .orderBy(F.xxhash64("_key"), "_key")
         .limit(MAX_LABELLED)
     )
-    # at most MAX_LABELLED rows of numbers: broadcast, and collected for the fit
+    # at most MAX_LABELLED rows of numbers, one for each key: broadcast, and collected for the fit
     marked = docs.select(key, text).join(F.broadcast(known), F.col(key) == F.col("_key"))
-    rows = with_statistics(marked, text).select("_key", "_y", "_s.*").toPandas().sort_values("_key", kind="stable")
+    counted = with_statistics(marked, text).groupBy("_key").agg(F.min(F.struct("_y", "_s")).alias("_r"))
+    rows = counted.select("_key", "_r._y", "_r._s.*").toPandas().sort_values("_key", kind="stable")
     names = [c for c in rows.columns if c not in ("_key", "_y")]
     return fit(rows[names].to_numpy(float), (rows["_y"].to_numpy() == 1).astype(float), names)
 
@@ -209,7 +214,9 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     """``docs`` with ``_score``, the probability of quality 1, for every row.
 
     Null and empty texts have statistics of 0 and are scored like any other. Rows with a null key are scored and
-    never trained on. Repeated rows get equal scores. Without labels every score is one half.
+    never trained on. Repeated rows get equal scores. Without labels every score is one half. Texts of any length are
+    counted whole; an empty table gives an empty one. Columns of ``docs`` are kept; names that begin with ``_s`` or
+    ``_words`` are the operator's own, so callers whose tables may have them pack the rows first, as ``keep_good`` does.
     """
     model = train(docs, labels, key, text)
     return with_statistics(docs, text).withColumn("_score", model.score()).drop("_s")

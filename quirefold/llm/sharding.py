@@ -64,7 +64,9 @@ def shard_rows(keys: DataFrame, order: list[str], shards: int, seed: int = 7) ->
 
     keys: the columns that identify a row (not the texts; join them afterwards, or write by shard).
     Nulls in the order columns come first. Rows equal in every order column are interchangeable, so a repeated
-    row gets a place of its own and the set of places stays the same. An empty table gives an empty table.
+    row gets a place of its own and the set of places stays the same. An empty table gives an empty table. Texts never
+    come here, only their sizes, so long ones cost no more. Other columns are kept; row_no, shard, slot and names that
+    begin with an underscore are the operator's own.
     """
     keys = common.stored(keys, "shard-keys")
     out, n = common.numbered(keys, order, keys.count())

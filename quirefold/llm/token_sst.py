@@ -180,8 +180,11 @@ class WordEncoder:
     letters, digits and signs before it merges, so ids of a text are the ids of its pieces in a row. Pieces are cut
     here only in printable ASCII and Latin-1 letters; a stretch with anything else goes to the library whole. New
     pieces go to the library many at a time, with spaces between them: the last id of each piece is a word end.
+    Whether a vocabulary is of this kind is tested on PROBES when it is loaded; if not, all texts go to the library whole.
     """
 
+    PROBES = ["Don't STOP, 12ab!? (x's) we'll  go\nà la Île; ß ÷ 3.14 <b> #1 o'er", "a" * 40, "x1y2 \n z", "It is a plain line of words."]
+
     PLAIN_TEXT = re.compile(r"[ \n!-~À-ÖØ-öø-ÿ]*\Z")
     PIECES = re.compile(r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
@@ -199,6 +202,14 @@ class WordEncoder:
             self.word_end[i] = token.endswith("</w>")
         self.pieces: dict[str, bytes] = {}
         self.stretches: dict[str, bytes] = {}
+        self.by_pieces = True
+        self.by_pieces = self._fits()
+
+    def _fits(self) -> bool:
+        try:
+            return self.encode(self.PROBES) == [ids + self.end for ids in self._whole(self.PROBES)]
+        except ValueError:
+            return False
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -231,6 +242,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text with the end id, as little-endian integers."""
+        if not self.by_pieces:
+            return [ids + self.end for ids in self._whole(texts)]
         if len(self.pieces) > MEMORY:
             self.pieces.clear()
         cut = [self._cut(t) for t in texts]
@@ -304,7 +317,9 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, key: str = "
     """Write all rows of ``docs`` and return the manifest: one row per shard file, in no order.
 
     Null keys come first, null texts hold the end id alone, a repeated key is an entry of its own for each row
-    (in the order of the texts), and an empty table writes no file. tokenizer_file must be readable on executors.
+    (in the order of the texts; equal texts in any order), and an empty table writes no file. Texts of any length are
+    encoded whole; an entry longer than a block is a block of its own. All other columns of ``docs`` are left out,
+    whatever their names. tokenizer_file must be readable on executors.
     """
     spark = docs.sparkSession
     common.small_batches(spark)

@@ -187,7 +187,8 @@ def write_bundles(pages: DataFrame) -> DataFrame:
 
     Null html is an empty payload, a null url becomes about:blank. Rows that repeat a page_id get records of their
     own under the same identifier; those that repeat the largest page_id of a payload are all responses. Rows with a
-    null page_id can be revisits, but nothing refers to them. An empty table writes nothing.
+    null page_id can be revisits, but nothing refers to them. An empty table writes nothing. A payload of any length is
+    a record and a frame of its own. Columns besides the three are left out, whatever their names.
     """
     spark = pages.sparkSession
     common.small_batches(spark, 500)
