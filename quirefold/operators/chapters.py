@@ -1,10 +1,7 @@
-"""Chapters: boundaries, evidence, diagnosis, offsets and the splitting cascade."""
+"""Chapters: boundaries, evidence, diagnosis, offsets and edits on a split."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,83 +121,7 @@ def min_gap(positions: DataFrame, group: str, position: str, gap: int) -> DataFr
     return listed.select(group, F.explode(kept).alias(position))
 
 
-# ---- the cascade: a book is one row, its strategies are tried in order ------------------------------------------------
-
-MARKDOWN = re.compile(r"^#{1,3}[ \t]+(\S.*)$", re.M)
-NUMBERED = re.compile(r"^(?:chapter[ \t]+)?([0-9]{1,2})[.:]?[ \t]+([^\s.][^\n.]{0,58})$", re.I | re.M)
-ROMAN_HEAD = re.compile(r"^([IVXL]{1,5})\.[ \t]+([^\n.]{1,60})$", re.M)
-LEAD_LEAST, CHAPTERS_LEAST, LARGEST_SHARE = 300, 3, 0.6
-_ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50}
-
-
-def _roman(s: str) -> int:
-    total = most = 0
-    for v in (_ROMAN[c] for c in reversed(s)):
-        total += -v if v < most else v
-        most = max(most, v)
-    return total
-
-
-def _by_markdown(text: str) -> list[tuple[int, str]]:
-    return [(m.start(), m.group(1).strip()) for m in MARKDOWN.finditer(text)]
-
-
-def _in_sequence(found: list[tuple[int, int, str]], gap: int) -> list[tuple[int, str]]:
-    """The headings that count up from 1, each at least ``gap`` characters after the last."""
-    out, want, last = [], 1, -gap
-    for at, number, title in found:
-        if number == want and at - last >= gap:
-            out.append((at, title))
-            want, last = want + 1, at
-    return out
-
-
-def _by_number(text: str) -> list[tuple[int, str]]:
-    return _in_sequence([(m.start(), int(m.group(1)), m.group(2).strip()) for m in NUMBERED.finditer(text)], 800)
-
-
-def _by_roman(text: str) -> list[tuple[int, str]]:
-    return _in_sequence([(m.start(), _roman(m.group(1)), m.group(2).strip()) for m in ROMAN_HEAD.finditer(text)], 800)
-
-
-STRATEGIES = [("heading", _by_markdown), ("numbered", _by_number), ("roman", _by_roman)]
-
-
-def split_text(text: str, strategies=STRATEGIES) -> tuple[str, list[tuple[str, str]]]:
-    """(mode, chapters): the first strategy that gives enough chapters, none of them most of the book; else one chapter.
-
-    Text before the first heading is a chapter if it is long enough and joins the first one if not, so the bodies
-    in a row are the text.
-    """
-    for mode, find in strategies:
-        marks = find(text)
-        if len(marks) < CHAPTERS_LEAST:
-            continue
-        starts = [at for at, _ in marks]
-        titles = [t for _, t in marks]
-        if starts[0] >= LEAD_LEAST:
-            starts, titles = [0, *starts], ["front matter", *titles]
-        else:
-            starts[0] = 0
-        bodies = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
-        if max(map(len, bodies)) <= LARGEST_SHARE * len(text):
-            return mode, list(zip(titles, bodies))
-    return "single", [("whole text", text)]
-
-
-def split_books(books: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, mode, n, title, body): chapters of each book in order; a book is one row and is split on its own."""
-    kind = books.schema[key].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for k, t in zip(batch[key], batch[text]):
-                mode, chapters = split_text(t or "")
-                rows += [(k, mode, n, title, body) for n, (title, body) in enumerate(chapters, 1)]
-            yield pd.DataFrame(rows, columns=[key, "mode", "n", "title", "body"])
-
-    return books.select(key, text).mapInPandas(run, f"{key} {kind}, mode string, n int, title string, body string")
+# ---- edits on a split ---------------------------------------------------------------------------------------------
 
 
 def renumbered(chapters: DataFrame, book: str) -> DataFrame:
@@ -220,6 +141,17 @@ def merged_up(chapters: DataFrame, book: str, at: int) -> DataFrame:
     return renumbered(joined, book)
 
 
+def split_chapter(chapters: DataFrame, book: str, at: int, offset: int, title: str) -> DataFrame:
+    """Chapter ``at`` of every book cut at ``offset``, its second part under ``title``, then renumbered; bodies in a row stay as they are."""
+    inside = (F.col("n") == at) & (F.length("body") > offset) & (F.lit(offset) > 0)
+    here = F.struct(F.col("title"), F.when(inside, F.substring("body", 1, offset)).otherwise(F.col("body")).alias("body"), F.lit(0).alias("part"))
+    rest = F.struct(F.lit(title).alias("title"), F.expr(f"substring(body, {offset + 1})").alias("body"), F.lit(1).alias("part"))
+    cut = chapters.select(book, "n", F.explode(F.when(inside, F.array(here, rest)).otherwise(F.array(here))).alias("c"))
+    w = Window.partitionBy(book).orderBy("n", "c.part")
+    lead = F.max(F.when(F.col("n") == 0, 1).otherwise(0)).over(Window.partitionBy(book))
+    return cut.select(book, (F.row_number().over(w) - lead).cast("int").alias("n"), "c.title", "c.body")
+
+
 def changed_bodies(before: DataFrame, after: DataFrame, book: str) -> DataFrame:
     """(book, n) of chapters whose body is new or other than before: what is derived from them must be made again."""
     keyed = lambda df: df.select(book, "n", F.sha2("body", 256).alias("h"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import bibliographic as bib
 from quirefold.functions.text import runs
-from quirefold.operators import chapters, glossary, notes
+from quirefold.operators import chapters, glossary, notes, segmentation
 from quirefold.sources import fixtures
 from quirefold.sources.fixtures import cte
 from quirefold.sources.tables import read
@@ -112,10 +112,48 @@ def min_gap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chapter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = read(spark, sf_dir, "documents", ["doc_id", "text"])
-    made = chapters.split_books(books, "doc_id", "text")
+    made = segmentation.split_books(books, "doc_id", "text")
     return made.groupBy("doc_id", "mode").agg(F.count("*").alias("n_chapters"), F.sum(F.length("body")).alias("n_chars"))
 
 
+def split_fixtures() -> list[tuple]:
+    """(book, text, bookmarks, visual): a book for each way of splitting."""
+    prose = lambda n: "plain words go on here. " * (n // 24)
+    pages = f"{prose(1200)}\f{prose(1200)}\f{prose(1200)}\f{prose(4000)}\nReferences\n{prose(600)}"
+    outline = [("One", 0), ("Two", 1), ("Three", 2), ("Four", 3)]
+    contents = "Contents\n1. The Water Mill\n2. The Wind Mill\n3. The Paper Mill\n\n"
+    roman = "I. The Water Mill ..... 3\nII. The Wind Mill ..... 40\nIII. The Paper Mill ..... 77\n\n"
+    titles = ["The Water Mill", "The Wind Mill", "The Paper Mill"]
+    notes = "\n".join(f"{n}. Miller and others, a book of the year." for n in range(1, 12))
+    parts = "".join(f"{head}\n{prose(1200)}\n" for head in ["Part 1", "1. Rivers And Wheels", "2. Winds And Sails", "Part 2", "1. Paper And Ink", "2. Oil And Seeds"])
+    starred = "".join(f"§ Chapter on {t}\n{prose(9000)}\n" for t in ("rivers", "winds", "paper"))
+    books = [
+        ("bookmark", pages, outline, None),
+        ("visual", pages, None, [(t, p + 1) for t, p in outline]),
+        ("heading", prose(600) + "".join(f"\n# Mill {k}\n{prose(3000)}" for k in "abc") + "\n# Short\nfew words\n# Notes\nnone", None, None),
+        ("heading-ko", "".join(f"## {n}장 물레\n{prose(2000)}\n### 절 {n}\n{prose(2000)}\n" for n in (1, 2, 3)), None, None),
+        ("toc-roman", roman + prose(500) + "".join(f"\n{r}. {t}\n{prose(2000)}" for r, t in zip(["I", "II", "III"], titles)), None, None),
+        ("toc", contents + prose(500) + "".join(f"\n{t}\n{prose(7000)}" for t in titles) + f"\n{notes}" * 4, None, None),
+        ("numbered", "\n" + prose(400) + "".join(f"\nChapter {n}: {t}\n{prose(1200)}" for n, t in enumerate(titles, 1)), None, None),
+        ("numbered-parts", parts, None, None),
+        ("llm", starred, None, None),
+        ("single", prose(5000), None, None),
+    ]
+    return books
+
+
+def pick_starred(lines: list[str]) -> list[dict]:
+    """A stand-in for a model that picks chapter starts."""
+    return [{"idx": n, "title": line.removeprefix("§ ")} for n, line in enumerate(lines) if line.startswith("§")]
+
+
+def chapter_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outline = "array<struct<title:string,page:int>>"
+    books = spark.createDataFrame(split_fixtures(), f"book string, text string, bookmarks {outline}, visual {outline}")
+    made = segmentation.split_books(books, "book", "text", pick_starred)
+    return made.select("book", "mode", "n", "title", F.length("body").alias("n_chars"))
+
+
 _W = r"[ \t\n\x0B\f\r]"
 _WORDS = f"""w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z-]{{3,}}')) AS form FROM documents),
 pairs AS (SELECT lower(regexp_replace(form, '[ \\t\\n\\x0B\\f\\r-]', '', 'g')) AS term, form FROM w)"""
@@ -198,6 +236,7 @@ QUERIES = {
     "page_asof": page_asof,
     "min_gap_dedup": min_gap_dedup,
     "chapter_cascade": chapter_cascade,
+    "chapter_strategies": chapter_strategies,
 }
 _BARE = "lower(regexp_replace({}, '[ \\t\\n\\x0B\\f\\r]+', '', 'g'))"
 ORACLES = {
@@ -240,5 +279,23 @@ SELECT o.source, off AS offset, doc_id FROM o JOIN s ON s.source = o.source AND
 f AS (SELECT user_id, min(a) AS a FROM e GROUP BY user_id UNION ALL
   SELECT f.user_id, (SELECT min(e.a) FROM e WHERE e.user_id = f.user_id AND e.a >= f.a + 86400) AS a FROM f WHERE f.a IS NOT NULL)
 SELECT user_id, a AS at FROM f WHERE a IS NOT NULL""",
+    # expected rows, checked by hand against the rules: each strategy wins once
+    "chapter_strategies": """SELECT book, mode, CAST(n AS INT) AS n, title, CAST(n_chars AS INT) AS n_chars FROM (VALUES
+  ('bookmark', 'bookmark', 1, 'One', 1199), ('bookmark', 'bookmark', 2, 'Two', 1199), ('bookmark', 'bookmark', 3, 'Three', 1199),
+  ('bookmark', 'bookmark', 4, 'Four', 3983), ('bookmark', 'bookmark', 5, 'References', 610), ('visual', 'visual', 1, 'One', 1199),
+  ('visual', 'visual', 2, 'Two', 1199), ('visual', 'visual', 3, 'Three', 1199), ('visual', 'visual', 4, 'Four', 3983),
+  ('visual', 'visual', 5, 'References', 610), ('heading', 'heading', 1, '서두', 599), ('heading', 'heading', 2, 'Mill a', 3008),
+  ('heading', 'heading', 3, 'Mill b', 3008), ('heading', 'heading', 4, 'Mill c', 3040), ('heading-ko', 'heading', 1, '1장 물레', 4001),
+  ('heading-ko', 'heading', 2, '2장 물레', 4001), ('heading-ko', 'heading', 3, '3장 물레', 4001), ('toc-roman', 'toc', 1, '머리말', 562),
+  ('toc-roman', 'toc', 2, 'I. The Water Mill', 2009), ('toc-roman', 'toc', 3, 'II. The Wind Mill', 2009),
+  ('toc-roman', 'toc', 4, 'III. The Paper Mill', 2011), ('toc', 'toc', 1, '머리말', 542), ('toc', 'toc', 2, '1. The Water Mill', 6998),
+  ('toc', 'toc', 3, '2. The Wind Mill', 6997), ('toc', 'toc', 4, '3. The Paper Mill', 6998), ('numbered', 'numbered', 1, '머리말', 383),
+  ('numbered', 'numbered', 2, 'The Water Mill', 1225), ('numbered', 'numbered', 3, 'The Wind Mill', 1224),
+  ('numbered', 'numbered', 4, 'The Paper Mill', 1225), ('numbered-parts', 'numbered', 1, '머리말', 1206),
+  ('numbered-parts', 'numbered', 2, 'Rivers And Wheels', 1220), ('numbered-parts', 'numbered', 3, 'Winds And Sails', 2426),
+  ('numbered-parts', 'numbered', 4, 'Paper And Ink', 1216), ('numbered-parts', 'numbered', 5, 'Oil And Seeds', 1216),
+  ('llm', 'llm', 1, 'Chapter on rivers', 9019), ('llm', 'llm', 2, 'Chapter on winds', 9018), ('llm', 'llm', 3, 'Chapter on paper', 9018),
+  ('single', 'single', 1, 'whole text', 4992)
+) t(book, mode, n, title, n_chars)""",
     "chapter_cascade": "SELECT doc_id, 'single' AS mode, CAST(1 AS BIGINT) AS n_chapters, CAST(length(text) AS BIGINT) AS n_chars FROM documents",
 }

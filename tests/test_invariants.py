@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirefold.functions import bibliographic, redact, scripts
-from quirefold.operators import chapters, glossary, layout, lines, notes, quality, queue, quotes, readings, units
+from quirefold.operators import chapters, glossary, layout, lines, notes, quality, queue, quotes, readings, segmentation, units
+from quirefold.plans import books as book_plans
 from quirefold.sources import fixtures, office
 from quirefold.streaming import stages
 
@@ -68,16 +69,47 @@ def test_sentence_ends_pass_over_abbreviations():
     assert not units.closed("ends with Mr.") and units.closed("a whole one. ") and not units.closed("")
 
 
-def test_splits_join_to_the_text():
-    numbered = "".join(f"{i} Heading {chr(64 + i)}\n" + "text " * 300 + "\n" for i in range(1, 6))
-    mode, parts = chapters.split_text("Lead " * 100 + "\n" + numbered)
-    assert mode == "numbered" and len(parts) == 6 and "".join(b for _, b in parts) == "Lead " * 100 + "\n" + numbered
-    roman = "".join(f"{r}. PART\n" + "text " * 300 + "\n" for r in ("I", "II", "III", "IV"))
-    assert chapters.split_text(roman)[0] == "roman"
-    marked = "".join(f"# T{i}\n" + "text " * 50 + "\n" for i in range(4))
-    assert chapters.split_text(marked)[0] == "heading" and "".join(b for _, b in chapters.split_text(marked)[1]) == marked
-    assert chapters.split_text("i. one\nii. two\niii. three")[0] == "single"
-    assert chapters.split_text("") == ("single", [("whole text", "")])
+def test_splits_hold_the_text():
+    won = set()
+    for book, text, bookmarks, visual in book_plans.split_fixtures():
+        mode, parts = segmentation.split_text(text, bookmarks or [], visual or [], book_plans.pick_starred)
+        assert mode == book.split("-")[0]
+        won.add(mode)
+        joined = bare("".join(b for _, b in parts))
+        whole = bare(segmentation.without_noise(text))
+        assert joined in whole and (mode == "toc" or joined == whole)  # contents and a notes list are left out, nothing else
+    assert won == {"bookmark", "visual", "heading", "toc", "numbered", "llm", "single"}
+    assert segmentation.split_text("i. one\nii. two\niii. three")[0] == "single"
+    assert segmentation.split_text("") == ("single", [("whole text", "")])
+
+
+def test_chosen_chapters_are_validated():
+    text = "".join(f"Line {n}\n{'plain words. ' * 700}\n" for n in range(6))
+    lines = segmentation.choosable_lines(text)
+    assert [line for _, line in lines] == [f"Line {n}" for n in range(6)]
+    pick = lambda *idx: segmentation.chosen(text, [{"idx": i} for i in idx])
+    assert [t for t, _ in pick(4, 0, 2)] == ["Line 0", "Line 2", "Line 4"]
+    assert pick(0, 1) is None and pick(0, 1, 6) is None and pick(0, 1, "2") is None and segmentation.chosen(text, None) is None
+    assert segmentation.chosen(text[:15_000], [{"idx": 0}] * 3) is None
+
+
+def test_many_small_sections_join_their_smallest():
+    text = "".join(f"# T{n}\n{'words go on. ' * (220 + n)}\n" for n in range(40))
+    mode, parts = segmentation.split_text(text)
+    assert mode == "heading" and len(parts) == segmentation.MOST_CHAPTERS
+
+
+def test_titles_are_found_without_their_spaces():
+    pattern = segmentation.title_pattern("TheWater MillOfOld")
+    assert pattern.search("x THE water-mill of 1 old") and segmentation.title_pattern("A of") is None
+
+
+def test_a_chapter_is_cut_at_an_offset(spark):
+    before = fixtures.frame(spark, "chapters").where("book = 'a'")
+    after = {r["n"]: r for r in chapters.split_chapter(before, "book", 2, 5, "second half").collect()}
+    old = {r["n"]: r for r in before.collect()}
+    assert after[2]["body"] + after[3]["body"] == old[2]["body"] and len(after[2]["body"]) == 5 and after[3]["title"] == "second half"
+    assert len(after) == len(old) + 1 and after[4]["body"] == old[3]["body"]
 
 
 def test_merging_and_renumbering_chapters(spark):
