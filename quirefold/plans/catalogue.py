@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirefold.operators import quality
 from quirefold.operators.language import with_language
-from quirefold.plans import bookkeeping, books, formats, language, pages, texts, work
+from quirefold.plans import bookkeeping, books, expected, formats, language, pages, texts, work
 from quirefold.sources.tables import read
 
 _PARTS = [language, pages, work, books, texts, formats, bookkeeping]
@@ -19,6 +19,7 @@ ORACLES: dict[str, str] = {}
 for _part in _PARTS:
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
+ORACLES |= {_name: expected.oracle(_name) for _name in expected.EXPECTED}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

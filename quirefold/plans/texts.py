@@ -52,6 +52,45 @@ def translation_plan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return had.join(kept, "doc_id", "left").select("doc_id", "source_chars", F.coalesce("retained_chars", F.lit(0)).cast("long").alias("retained_chars"))
 
 
+def plan_fixtures() -> list[tuple]:
+    """(doc, text, titles, notes, bodies): what a plan has to tell apart."""
+    headers = "".join(f"{n} The Old Mill\nThe wheel turned on page {n}.\n\n" for n in (4, 6, 8))
+    return [
+        ("pages", "The sentence goes on\n\n12 A note below the text.\f\nhere and ends. More text.", [], [], []),
+        ("headers", headers + "The end of it.", ["The Old Mill"], [], []),
+        ("same-number", headers.replace("6 The", "4 The").replace("8 The", "4 The") + "The end.", ["The Old Mill"], [], []),
+        ("headings", "Unfinished before\n\n# Head\n\nText after it.\n\n1.2 Section\n\nMore.", [], [], []),
+        ("regions", "See the town book of that year.\n\nBody text of a page.", [], ["See the town book of that year."], ["Body text of a page."]),
+        ("long", "words without an end " * 1200, [], [], []),
+        ("empty", "", [], [], []),
+        ("mark", "One.[[PAGEBREAK]]Two.", [], [], []),
+    ]
+
+
+def plan_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = "doc string, text string, titles array<string>, notes array<string>, bodies array<string>"
+    made = units.translation_plan(spark.createDataFrame(plan_fixtures(), kinds), key="doc")
+    shown = lambda c: F.left(F.replace(c, F.lit("\n"), F.lit("|")), F.lit(40))
+    return made.select(
+        "doc", "n", "start", "end", "page", "kind", shown(F.col("unit")).alias("unit"), F.col("warning").isNotNull().alias("warned"),
+        shown(F.col("before")).alias("before"), shown(F.col("after")).alias("after"), F.size("excluded").alias("n_excluded"),
+    )
+
+
+def paragraph_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three ways of cutting paragraphs, what stands alone, and sentences over notes."""
+    texts = [
+        ("blocks", "Short.\n\nAlso short, but this block has more than fifty characters in all.\n\n3 Psalm 8:4.\n\nLast."),
+        ("over-notes", "A sentence that is cut in the middle of the page and goes\n\n7 A note in between.\n\n[[PAGEBREAK]]\n\non behind the page mark, which is a long way."),
+        ("lines", "\n".join(f"Line {n} of a text without empty lines {'and more ' * 60}" for n in range(12))),
+        ("sentences", "One sentence that is rather long for its kind, as they are. " * 80),
+        ("one", "Only this."),
+        ("empty", ""),
+    ]
+    made = spark.createDataFrame(texts, "doc string, text string").select("doc", F.posexplode(units.chunks("text")).alias("n", "chunk"))
+    return made.select("doc", "n", F.length("chunk").alias("n_chars"), F.left(F.replace("chunk", F.lit("\n"), F.lit("|")), F.lit(60)).alias("chunk"))
+
+
 def reading_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = fixtures.frame(spark, "page_readings").withColumn("r", readings.reconcile("read_a", "read_b", "judge"))
     made = readings.verdicts(pages.withColumn("text", F.col("r.text")), "text", "base", "judge", least_base=20)
@@ -59,13 +98,10 @@ def reading_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reading_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of equal digit-free beginnings are read as two readings of one page."""
-    docs = read(spark, sf_dir, "documents", ["doc_id", "text"])
-    first = F.substring("text", 1, 60)
-    keyed = docs.select("doc_id", "text", F.sha2(F.regexp_replace(first, "[0-9]", ""), 256).alias("k"))
-    base = keyed.groupBy("k").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("b"), F.count("*").alias("n")).where("n > 1")
-    pairs = keyed.join(base, "k").where(F.col("doc_id") != F.col("b.doc_id"))
-    return pairs.select("doc_id", F.col("b.doc_id").alias("base_id"), readings.similarity("text", "b.text").alias("similarity"))
+    """How like each other the two readings of a page are, and the first one and the text layer."""
+    pages = fixtures.frame(spark, "page_readings")
+    ratio = lambda a, b: F.round(readings.similarity(F.col(a), F.col(b)), 6)
+    return pages.select("page", ratio("read_a", "read_b").alias("readings"), ratio("read_a", "base").alias("layer"))
 
 
 def fuzzy_source_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +175,8 @@ QUERIES = {
     "paragraph_chunks": paragraph_chunks,
     "chunk_coverage": chunk_coverage,
     "translation_plan_coverage": translation_plan_coverage,
+    "plan_units": plan_units,
+    "paragraph_splits": paragraph_splits,
     "reading_reconcile": reading_reconcile,
     "reading_similarity": reading_similarity,
     "fuzzy_source_match": fuzzy_source_match,

@@ -139,6 +139,12 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
             (1, 3, "Words of a page.41\nmore words"),
             (1, 4, "41 The note stands on the next page."),
             (2, 0, "No reference here.\n7 A lone line that ends in a stop."),
+            (3, 0, "물레는 물가에 섰다.58 방앗\n58 마을의 책에 적힌 이야기, 71-73."),
+            (3, 1, "간은 오래 되었다.\n59 같은 책, 같은 저자, 80."),
+            (3, 2, "끝이다."),
+            (4, 0, "One wheel.1 Two wheels.1\n1 The first of two notes."),
+            (4, 1, "More words.\n1 The second of two notes."),
+            (4, 2, "Far.9\n30 Mill, 3, 7, 9, 12, 14, 20-22, 31, 40, 41, 44, 50."),
         ],
     ),
     "keyword_notes": (

@@ -58,7 +58,8 @@ def test_chunks_lose_nothing_and_stay_small(spark, sf_dir):
 def test_plan_offsets_reproduce_the_text(spark):
     text = "First part. " * 400 + "\f\n# Head\n\n1. A note\n\n" + "x" * 25000
     rows = units.translation_plan(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("n").collect()
-    assert all(text[r["start"] : r["end"]] == r["unit"] for r in rows)
+    assert all(bare(text[r["start"] : r["end"]]) == bare(r["unit"]) for r in rows if r["kind"] != "page")
+    assert "".join(bare(r["unit"]) for r in rows if r["kind"] != "page") == bare(text)
     assert {r["kind"] for r in rows} >= {"page", "body", "note_candidate"}
     assert [r["page"] for r in rows] == sorted(r["page"] for r in rows)
 
@@ -124,7 +125,24 @@ def test_notes_and_references(spark):
     got = {(r["doc_id"], r["num"]): r for r in notes.linked_notes(fixtures.frame(spark, "footnote_pages")).collect()}
     assert got[1, 39]["linked"] and got[1, 40]["linked"]
     assert got[1, 41]["page"] == 4 and got[1, 41]["ref_page"] == 3
-    assert not got[2, 7]["is_note"] and (1, 110) not in got
+    assert not got[2, 7]["is_note"] and not got[1, 110]["is_note"]
+    rows = sorted((r["page"], r["num"], r["ref_page"]) for r in notes.linked_notes(fixtures.frame(spark, "footnote_pages")).where("doc_id = 4").collect())
+    assert rows == [(0, 1, 0), (1, 1, 0)]  # each takes a reference of its own; the index entry is no note
+    assert (got[3, 59]["linked"], got[3, 59]["is_note"]) == (False, True)  # next to 58
+
+
+def test_pages_flagged_off_are_not_searched(spark):
+    pages = fixtures.frame(spark, "footnote_pages").withColumn("has_notes", F.col("page") != 0)
+    assert {r["page"] for r in notes.linked_notes(pages).where("doc_id = 1 and is_note").collect()} == {1, 4}
+
+
+def test_chains_of_headings_are_no_notes():
+    prose = "\n\n" + "long words " * 50
+    assert notes.split_notes("Text.\n1 First section" + prose + "\n2 Second section" + prose)[1] == []
+    assert notes.split_notes("Text.\n1 ibid., 3.\n2 A note that is\nlong enough.") == ("Text.", [(1, "ibid., 3."), (2, "A note that is long enough.")])
+    assert notes.split_notes("Text.\n4 ibid.") == ("Text.\n4 ibid.", [])  # short and alone
+    assert notes.recovery_hint(["a.58 방앗\n58 A note of a book.", "간은"], 0, [59], "방앗간은") == "notes 59; the page ends in '방앗' of '방앗간은'"
+    assert notes.recovery_hint(["whole."], 0, [3, 4]) == "notes 3, 4"
 
 
 def test_definitions_move_to_their_markers(spark):
@@ -135,10 +153,15 @@ def test_definitions_move_to_their_markers(spark):
 
 
 def test_pages_join_sentences_and_keep_notes(spark):
-    pages = [(1, 0, "It was a long-\n1 A note."), (1, 1, "lived river\nbank. The end."), (1, 2, "Cut here"), (1, 3, "and on.")]
-    got = {r["page"]: r for r in notes.pages_reflowed(spark.createDataFrame(pages, "doc_id int, page int, text string"), []).collect()}
-    assert got[0]["notes"] == "1 A note." and len(got) == 4
-    assert got[1]["body"].startswith("It was a longlived river") and got[3]["body"] == "Cut here and on."
+    pages = ["It was a long-\n1 A note of the book.", "lived river\n2 A note of the next page.", "bank. The end.\n\nMore.\n3 The last of the notes.", "Cut here", "and on."]
+    got = notes.reflowed(pages)
+    assert got == [
+        "It was a longlived river bank. The end.\n\n1 A note of the book.\n2 A note of the next page.", "",
+        "More.\n\n3 The last of the notes.", "Cut here", "and on.",
+    ]
+    frame = spark.createDataFrame([(1, n, p) for n, p in enumerate(pages)], "doc_id int, page int, text string")
+    assert [r["text"] for r in notes.pages_reflowed(frame).orderBy("page").collect()] == got
+    assert notes.joined("방앗", "간은", "물레방앗간은") == "방앗간은" and notes.joined("방앗", "간은") == "방앗 간은"
 
 
 def test_glossary_forms(spark):
