@@ -259,7 +259,11 @@ def feed_record(reply: Column) -> Column:
 
 
 def spread(df: DataFrame, group: str, order: str, budget: int) -> DataFrame:
-    """(group, rows): the order keys at even places, as one array for each group."""
-    listed = df.groupBy(group).agg(F.array_sort(F.collect_list(order)).alias("a"))
-    places = even_places(F.size("a"), budget)
-    return listed.select(group, F.transform(places, lambda i: F.get("a", i.cast("int"))).alias("rows"))
+    """(group, rows): the order keys at even places, as one array of at most ``budget`` for each group.
+
+    Places are row numbers, so a group is sorted but never gathered.
+    """
+    placed = df.select(group, order).withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(order)).cast("long") - 1)
+    sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
+    chosen = placed.join(sizes, group).where(F.array_contains(even_places(F.col("_n"), budget), F.col("_at")))
+    return chosen.groupBy(group).agg(F.array_sort(F.collect_list(order)).alias("rows"))

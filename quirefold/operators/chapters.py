@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import compact, strip
+from quirefold.operators.ordered import kept_in_order
 
 #: Heading words that open or close a text, and those that begin its back matter.
 OPENING = ["introduction", "preface", "prologue", "foreword", "서론", "머리말", "들어가는말", "들어가며"]
@@ -111,14 +112,21 @@ def page_of_offsets(pages: DataFrame, book: str, page: str, text: str, step: int
 
 
 def min_gap(positions: DataFrame, group: str, position: str, gap: int) -> DataFrame:
-    """(group, position) kept greedily: each at least ``gap`` after the last one kept. Positions of a group are folded in order."""
-    listed = positions.groupBy(group).agg(F.array_sort(F.collect_set(position)).alias("p"))
+    """(group, position) kept greedily: each at least ``gap`` after the last one kept. Repeated positions count once."""
 
-    def step(kept: Column, p: Column) -> Column:
-        return F.when((F.size(kept) == 0) | (p - F.element_at(kept, F.greatest(F.size(kept), F.lit(1))) >= gap), F.array_append(kept, p)).otherwise(kept)
+    def start():
+        last = None
 
-    kept = F.aggregate("p", F.array().cast("array<bigint>"), lambda k, p: F.when(F.size(k) == 0, F.array(p)).otherwise(step(k, p)))
-    return listed.select(group, F.explode(kept).alias(position))
+        def keep(row: dict) -> bool:
+            nonlocal last
+            if last is not None and row[position] - last < gap:
+                return False
+            last = row[position]
+            return True
+
+        return keep
+
+    return kept_in_order(positions.select(group, position).where(F.col(position).isNotNull()).distinct(), group, position, start)
 
 
 # ---- edits on a split ---------------------------------------------------------------------------------------------

@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions.text import SPACE, filled_lines, strip, tokens
+from quirefold.session import stored
 
 EDGE_SHARE, EDGE_LEAST = 2, 3
 HEADER_SHARE, HEADER_LEAST, HEADER_EDGE, HEADER_MOST = 0.2, 3, 3, 80
+#: So many repeated lines are broadcast, after they have been counted.
+BROADCAST_ROWS = 200_000
 HEAD_WORDS, GRAM_WORDS, HEAD_LEAST = 12, 8, 3
 
 
@@ -53,21 +56,31 @@ def repeated_lines(pages: DataFrame, book: str, page: str, text: str) -> DataFra
 
     Lone page numbers and rotated text are never kept. Of a repeated line the first in the book is kept, as it is
     the real title that later pages repeat.
+
+    The texts are read three times: for counts by digit-free line, of which most stand once and go; for the lines
+    behind the others; and for the answer.
     """
-    lines = pages.select(book, page, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "raw"))
-    lines = lines.select(book, page, "line_no", strip(F.col("raw")).alias("s")).where(F.col("s") != "").withColumn("key", no_digits(F.col("s")))
-    edge = edge_furniture(pages, book, text).where(F.length("key") > 10).select(book, "key", F.lit(True).alias("at_edge"))
-    exact = lines.where(F.length("s") < 90).groupBy(book, "s").agg(F.count("*").alias("n_exact")).where("n_exact >= 3")
-    long_key = lines.where(F.length("key") > 40).groupBy(book, "key").agg(F.count("*").alias("n_key")).where("n_key >= 3")
-    found = lines.join(edge, [book, "key"], "left").join(exact, [book, "s"], "left").join(long_key, [book, "key"], "left")
-    number = F.col("s").rlike("^[0-9]{1,4}$")
-    noise = is_vertical_noise(F.col("s"))
-    by_key = F.col("at_edge").isNotNull() | F.col("n_key").isNotNull()
-    mark = F.when(number | noise, F.lit(None).cast("string")).when(by_key & (F.length("key") > 10), F.col("key")).otherwise(F.col("s"))
-    found = found.where(number | noise | by_key | F.col("n_exact").isNotNull()).select(book, page, "line_no", mark.alias("mark"))
-    first = found.where(F.col("mark").isNotNull()).groupBy(book, "mark").agg(F.min(F.struct(page, "line_no")).alias("first"))
+    filled = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("line_no"), strip(x).alias("s"))), lambda x: x["s"] != "")
+    lines = pages.select(book, page, filled.alias("_l")).select(book, page, F.size("_l").alias("_n"), F.posexplode("_l").alias("_k", "_x"))
+    at_edge = (F.col("_k") < 2).cast("int") + (F.col("_k") >= F.col("_n") - 2).cast("int")
+    lines = lines.select(book, page, "_x.line_no", "_x.s", at_edge.alias("at_edge"))
+    keyed = lines.withColumn("key", no_digits(F.col("s")))
+    sizes = pages.groupBy(book).agg(F.count("*").alias("n_pages"))
+    often = keyed.groupBy(book, "key").agg(F.count("*").alias("n"), F.sum("at_edge").alias("n_edge")).where("n >= 3 or n_edge >= 3")
+    size = F.length("key")
+    edge = F.col("n_edge") >= F.greatest(F.lit(EDGE_LEAST), F.floor(F.col("n_pages") / EDGE_SHARE))
+    by_key = (edge & size.between(11, 89)) | ((size > 40) & (F.col("n") >= 3))
+    often = stored(often.join(sizes, book).select(book, "key", by_key.alias("by_key")), "repeated-keys")
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    exact = keyed.join(few(often), [book, "key"]).groupBy(book, "s", "key", "by_key").agg(F.count("*").alias("n"), F.min(F.struct(page, "line_no")).alias("first"))
+    plain = lambda s: ~(s.rlike("^[0-9]{1,4}$") | is_vertical_noise(s))
+    marks = exact.where((F.col("by_key") | ((F.length("s") < 90) & (F.col("n") >= 3))) & plain(F.col("s")))
+    marks = stored(marks.select(book, "s", F.when(F.col("by_key"), F.col("key")).otherwise(F.col("s")).alias("mark"), "first"), "repeated-lines")
+    first = marks.groupBy(book, "mark").agg(F.min("first").alias("first"))
+    marks = stored(marks.drop("first").join(first, [book, "mark"]).select(book, "s", "mark", "first"), "marked-lines")
+    found = lines.join(few(marks), [book, "s"], "left").where(F.col("mark").isNotNull() | ~plain(F.col("s")))
     kept = F.coalesce((F.col("first")[page] == F.col(page)) & (F.col("first")["line_no"] == F.col("line_no")), F.lit(False))
-    return found.join(first, [book, "mark"], "left").select(book, page, "line_no", "mark", kept.alias("kept"))
+    return found.select(book, page, "line_no", "mark", kept.alias("kept"))
 
 
 def bare_header(line: Column) -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirefold.functions.text import compact
+from quirefold.operators.ordered import kept_in_order
 
 LEAST_KEY = 10
 QUOTE_MOST, BUDGET_SHARE, BUDGET_LEAST = 200, 0.02, 400
@@ -77,22 +78,26 @@ def budgeted(rows: DataFrame, group: str, order: str, text: str, target: int) ->
     """(group, order, n_chars) of the quotes that fit: at most ``target``, none over QUOTE_MOST, and in sum within the budget.
 
     A quote that does not fit is passed over and uses nothing, so a running sum would be wrong: the rows of a group
-    are folded in order. A group is one list of quotes.
+    are folded in order, after their sizes have been summed.
     """
-    listed = rows.groupBy(group).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.length(text).alias("n")))).alias("q"), F.sum(F.length(text)).alias("total")
-    )
-    budget = F.greatest(F.lit(BUDGET_LEAST), F.floor(F.col("total") * BUDGET_SHARE))
-    empty = F.array().cast("array<struct<at:bigint,n:int>>")
-    start = F.struct(empty.alias("kept"), F.lit(0).cast("long").alias("used"))
-
-    def step(acc: Column, q: Column) -> Column:
-        fits = (F.size(acc["kept"]) < target) & (q["n"] <= QUOTE_MOST) & (acc["used"] + q["n"] <= budget)
-        more = F.struct(F.array_append(acc["kept"], F.struct(q["at"].cast("long").alias("at"), q["n"].alias("n"))).alias("kept"), (acc["used"] + q["n"]).alias("used"))
-        return F.when(fits, more).otherwise(acc)
-
-    kept = F.aggregate("q", start, step, lambda acc: acc["kept"])
-    return listed.select(group, F.explode(kept).alias("k")).select(group, F.col("k.at").alias(order), F.col("k.n").cast("long").alias("n_chars"))
+    sized = rows.select(group, F.col(order).cast("long").alias(order), F.length(text).cast("long").alias("n_chars"))
+    totals = sized.groupBy(group).agg(F.sum("n_chars").alias("_total"))
+    budget = F.greatest(F.lit(BUDGET_LEAST), F.floor(F.col("_total") * BUDGET_SHARE)).cast("long").alias("_budget")
+
+    def start():
+        kept = used = 0
+
+        def keep(row: dict) -> bool:
+            nonlocal kept, used
+            n = row["n_chars"]
+            fits = n is not None and kept < target and n <= QUOTE_MOST and used + n <= row["_budget"]
+            kept, used = (kept + 1, used + n) if fits else (kept, used)
+            return fits
+
+        return keep
+
+    asked = sized.join(totals, group).select(group, order, "n_chars", budget)
+    return kept_in_order(asked, group, order, start).drop("_budget")
 
 
 def length_params(df: DataFrame, chars: str, pct: int) -> DataFrame:

@@ -42,8 +42,10 @@ def bilingual_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents", ["source", "doc_id", "text"]).withColumnsRenamed({"doc_id": "n", "text": "body"})
-    return markup.merged_text(docs, "source").select("source", F.sha2("text", 256).alias("text_sha256"))
+    """A book is sixteen documents in a row of one source: a text has to fit a row, and a source need not."""
+    docs = read(spark, sf_dir, "documents", ["source", "doc_id", "text"]).withColumn("book", F.concat_ws(":", "source", F.floor(F.col("doc_id") / 320)))
+    merged = markup.merged_text(docs.withColumnsRenamed({"doc_id": "n", "text": "body"}), "book")
+    return merged.select("book", F.sha2("text", 256).alias("text_sha256"))
 
 
 def page_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +169,8 @@ ORACLES = {
     "bilingual_blocks": f"WITH {_BILINGUAL} SELECT path, pos, src, tgt FROM blocks WHERE src IS NOT NULL",
     "bilingual_best": f"WITH {_BILINGUAL}, c AS (SELECT stem, path, count(*) AS n FROM blocks WHERE src IS NOT NULL AND tgt <> '' GROUP BY ALL) SELECT stem, arg_max(path, (n, path)) AS path, max(n) AS n FROM c GROUP BY stem",
     "bilingual_cache": f"WITH {_BILINGUAL} SELECT src, arg_min(tgt, rank) AS tgt FROM blocks WHERE src IS NOT NULL AND tgt <> '' GROUP BY src",
-    "merged_books": "SELECT source, sha256(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS text_sha256 FROM documents GROUP BY source",
+    "merged_books": """SELECT source || ':' || doc_id // 320 AS book, sha256(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS text_sha256
+FROM documents GROUP BY source, doc_id // 320""",
     "chapter_navigation": f"WITH {cte('chapters')} SELECT book, n, title, lag(title) OVER w AS previous, lead(title) OVER w AS next FROM chapters WINDOW w AS (PARTITION BY book ORDER BY n)",
     "recent_errors": f"""WITH {cte('log_lines')} SELECT pos, line FROM log_lines WHERE regexp_matches(line, '(?i)error|exception|traceback|failed|오류|실패')
  AND NOT regexp_matches(line, '(?i)retry|0 errors|no error') ORDER BY pos DESC LIMIT 3""",
