@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -85,17 +85,30 @@ def read_pages(images: DataFrame, reader: Callable[[list[bytes]], str], per_call
     return images.select("page", "content").mapInPandas(run, "pages array<long>, reply string")
 
 
-def decoded(files: DataFrame, decoder: Callable[[bytes], list[list[tuple]]]) -> DataFrame:
-    """Glyph rows (path, page, idx, ch, x0, y, x1) of files (path, content) through a PDF decoder; a page that fails is skipped."""
+def decoded(files: DataFrame, decoder: Callable[[bytes], Iterable[Callable[[], list[tuple]]]]) -> DataFrame:
+    """Glyph rows (path, page, idx, ch, x0, y, x1, skipped) of files (path, content) through a PDF decoder.
+
+    decoder gives a function for each page. A page that fails, or a file that can't be opened (page -1), is one row
+    without glyphs under ``skipped`` with its error, and ends nothing else.
+    """
+    columns = ["path", "page", "idx", "ch", "x0", "y", "x1", "skipped"]
+
+    def glyphs_of(path: str, content: bytes) -> Iterator[tuple]:
+        empty = (None,) * 5
+        try:
+            pages = list(decoder(content))
+        except Exception as problem:  # one damaged file must not end the job
+            yield (path, -1, *empty, str(problem)[:200])
+            return
+        for page, read in enumerate(pages):
+            try:
+                yield from [(path, page, i, *glyph, None) for i, glyph in enumerate(read() or [])]
+            except Exception as problem:
+                yield (path, page, *empty, str(problem)[:200])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                (path, page, i, *glyph)
-                for path, content in zip(batch["path"], batch["content"])
-                for page, glyphs in enumerate(decoder(bytes(content)))
-                for i, glyph in enumerate(glyphs or [])
-            ]
-            yield pd.DataFrame(rows, columns=["path", "page", "idx", "ch", "x0", "y", "x1"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, page int, idx int, ch string, x0 double, y double, x1 double")
+            rows = [row for path, content in zip(batch["path"], batch["content"]) for row in glyphs_of(path, bytes(content))]
+            yield pd.DataFrame(rows, columns=columns).astype({"page": "Int32", "idx": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, page int, idx int, ch string, x0 double, y double, x1 double, skipped string")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from quirefold.operators import quality
 from quirefold.operators.language import with_language
-from quirefold.plans import bookkeeping, books, expected, formats, language, pages, texts, work
+from quirefold.plans import bookkeeping, books, expected, formats, language, pages, texts, work, workspace
 from quirefold.sources.tables import read
 
-_PARTS = [language, pages, work, books, texts, formats, bookkeeping]
+_PARTS = [language, pages, work, books, texts, formats, bookkeeping, workspace]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -9,6 +9,18 @@ from __future__ import annotations
 _KINDS = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
 
 EXPECTED: dict[str, tuple[str, list[tuple]]] = {
+    "quality_scan": (
+        "doc_id int, verdict string, one_syllable_pct double, rank int",
+        [
+            (1, 'ok', 35.294117647058826, 3), (2, 'bad', 0.0, 1), (3, 'bad', 35.294117647058826, 1), (4, 'unknown', 0.0, 4), (5, 'unknown', 0.0, 4), (6, 'suspect', 35.294117647058826, 2), (7, 'suspect', 35.294117647058826, 2),
+        ],
+    ),
+    "translation_acceptance": (
+        "uid int, accepted boolean, already boolean",
+        [
+            (1, True, False), (2, False, False), (3, False, False), (4, False, False), (5, True, False), (6, True, False), (7, False, False), (8, True, False), (9, False, False), (10, False, True),
+        ],
+    ),
     "catalogue_records": (
         "rid int, title string, author string, published_date string",
         [

@@ -8,6 +8,49 @@ _KO = "우리는 그 길을 걸을 수 있다고 말한 뒤 한 권의 책을 
 _KO_LOST = "우리는 그길을 걸을 있다고 말하고 오래된 책을 다시 읽으며 조용히 글을 쓴다 "
 
 TABLES: dict[str, tuple[str, list[tuple]]] = {
+    "workspace_files": (
+        "folder STRING, path STRING, name STRING, size INT",
+        [
+            ("a", "a/01_Mill.txt", "01_Mill.txt", 90), ("a", "a/01_Mill_ko.txt", "01_Mill_ko.txt", 80), ("a", "a/02_River_wiki.md", "02_River_wiki.md", 5),
+            ("a", "a/02_River_wiki.json", "02_River_wiki.json", 7), ("a", "a/10_Old.txt", "10_Old.txt", 10), ("a", "a/notes.txt", "notes.txt", 30),
+            ("b", "b/01_One_wiki.json", "01_One_wiki.json", 4), ("b", "b/01_One.txt", "01_One.txt", 60), ("b", "b/xx_One.txt", "xx_One.txt", 61),
+            ("v", "v/deep/.obsidian/app.json", "app.json", 1), ("v", "v/deep/copy.md", "copy.md", 2), ("v", "v/deep/more/copy.md", "copy.md", 2),
+            ("v", "v/note.md", "note.md", 3), ("v", "v/_log/x.md", "x.md", 3), ("v", "top.md", "top.md", 3), ("v", "v/.trash/y.md", "y.md", 3),
+        ],
+    ),
+    "written_files": (
+        "book STRING, name STRING, body STRING",
+        [
+            ("a", "01_Mill.txt", "the mill"), ("a", "01_Mill_ko.txt", "물레"), ("a", "01_Mill_ko_wiki.md", "note"), ("a", "02_River.txt", "old river"),
+            ("a", "02_River_bilingual.md", "both"), ("a", "09_Gone.txt", "gone"), ("b", "01_Mill.txt", "kept"), ("b", "01_Mill_clean.txt", "kept"),
+        ],
+    ),
+    "split_chapters": (
+        "book STRING, n INT, title STRING, body STRING, source STRING",
+        [("a", 1, "Mill", "the mill", "the mill new river"), ("a", 2, "River", "new river", "the mill new river"), ("b", 1, "Mill", "kept", "kept and very much more text")],
+    ),
+    "unit_replies": (
+        "uid INT, src STRING, tgt STRING",
+        [
+            (1, "The mill stands by the river.", "물레방앗간이 강가에 서 있다."), (2, "The mill stands by the river.", "The mill stands by the river."),
+            (3, "The mill.", ""), (4, "The mill.", "Please provide the text to translate."), (5, "See https://example.org/a/very/long/address now", "지금 https://example.org/a/very/long/address 보라"),
+            (6, "7.3.1 Maya.", "7.3.1 마야(Maya)."), (7, "12, 3.", "12, 3."), (8, "", "없음 그 자체"), (9, "Old river", "원문을 제공해 주세요"), (10, "강가의 물레", None),
+        ],
+    ),
+    "header_paragraphs": (
+        "pid INT, title STRING, text STRING",
+        [
+            (1, "06_Legal Reasoning", "134 Chapter 6"), (2, "06_Legal Reasoning", "134 Chapter 6 reasoning goes on here"), (3, "06_Legal Reasoning", "135 Legal Reasoning"),
+            (4, "06_Legal Reasoning", "Legal/Reasoning 136"), (5, "06_Legal Reasoning", "1 Introduction 1"), (6, "06_Legal Reasoning", "Chapter 1"), (7, "x", "Notes 185"),
+            (8, "x", "Notes 185 References 199 Index 225"), (9, "x", "Figure 4"), (10, "x", ""), (11, "", "7 words of the text and no title"), (12, None, "210 Index"),
+        ],
+    ),
+    "note_lines": (
+        "lid INT, line STRING",
+        [
+            (1, "## 핵심 인용"), (2, "### Key Quotes and more"), (3, "Key Quotes"), (4, "# 主要内容"), (5, "#### Schlüsselbegriffe"), (6, "##### deep"), (7, "2) The Mill :"), (8, "## Other"),
+        ],
+    ),
     "lang_samples": (
         "sample_id INT, text STRING",
         [

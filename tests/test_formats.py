@@ -160,4 +160,8 @@ def test_providers_over_frames(spark):
     pages = spark.createDataFrame([(i, bytearray(b"x")) for i in range(10)], "page long, content binary").coalesce(1)
     assert sorted(len(r["pages"]) for r in providers.read_pages(pages, lambda c: str(len(c)), 4).collect()) == [2, 4, 4]
     files = spark.createDataFrame([("a.pdf", bytearray(b"x"))], "path string, content binary")
-    assert providers.decoded(files, lambda c: [[("r", 0.0, 1.0, 5.0)], None, [("s", 0.0, 1.0, 5.0)]]).count() == 2
+    glyph = lambda ch: lambda: [(ch, 0.0, 1.0, 5.0)]
+    got = providers.decoded(files, lambda c: [glyph("r"), lambda: None, glyph("s"), lambda: 1 / 0]).collect()
+    assert [(r["page"], r["ch"], r["skipped"]) for r in got] == [(0, "r", None), (2, "s", None), (3, None, "division by zero")]
+    (bad,) = providers.decoded(files, lambda c: 1 / 0).collect()
+    assert (bad["page"], bad["skipped"]) == (-1, "division by zero")
