@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,11 +13,12 @@ from pyspark.sql import types as T
 
 from quirefold.functions.text import compact
 from quirefold.operators.ordered import kept_in_order
+from quirefold.session import stored
 
 LEAST_KEY = 10
 QUOTE_MOST, BUDGET_SHARE, BUDGET_LEAST = 200, 0.02, 400
-#: Quotes that are searched for in one pass over the sources; more quotes take more passes.
-BLOCK = 50_000
+#: Quotes that are searched for in one pass over the sources, and their characters together.
+BLOCK, BLOCK_CHARS = 50_000, 20_000_000
 
 _HITS = T.ArrayType(T.StructType([T.StructField("quote", T.IntegerType()), T.StructField("position", T.IntegerType())]))
 _AUTOMATA: dict[int, tuple[list[str], ahocorasick.Automaton]] = {}
@@ -37,6 +41,8 @@ def _first_places(keys: list[str]):
     kind = pa.list_(pa.struct([("quote", pa.int32()), ("position", pa.int32())]))
 
     def run(texts: pa.Array) -> pa.Array:
+        if not keys:
+            return pa.array([[]] * len(texts), kind)
         automaton, rows = _automaton(keys), []
         for text in texts.to_pylist():
             first: dict[int, int] = {}
@@ -48,30 +54,74 @@ def _first_places(keys: list[str]):
     return F.arrow_udf(run, _HITS)
 
 
-def verified(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+def _selected(codes: np.ndarray) -> list[tuple[int, int]]:
+    """Places of the grams that are the least of some WINDOW of them in a row, the last one where several are."""
+    grams = np.lib.stride_tricks.sliding_window_view(codes, LEAST_KEY) @ _WEIGHTS
+    grams ^= grams >> np.uint64(29)
+    grams *= np.uint64(0xBF58476D1CE4E5B9)
+    windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)[:, ::-1]
+    at = np.arange(len(windows)) + WINDOW - 1 - windows.argmin(axis=1)
+    kept = np.unique(at)
+    return list(zip(kept.tolist(), grams[kept].view(np.int64).tolist()))
+
+
+#: Grams in a window, of which each text keeps the least; the weights of the characters in a gram.
+WINDOW = 16
+_WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(LEAST_KEY)], np.uint64)
+LEAST_ANCHORED = LEAST_KEY + WINDOW - 1
+_ANCHORS = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("gram", T.LongType())]))
+
+
+@F.arrow_udf(_ANCHORS)
+def anchors(texts: pa.Array) -> pa.Array:
+    """The anchors (place, gram) of each text. Texts that share LEAST_ANCHORED characters in a row share an anchor in them."""
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("gram", pa.int64())]))
+    rows = []
+    for text in texts.to_pylist():
+        codes = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.uint64)
+        rows.append([{"at": i, "gram": g} for i, g in _selected(codes)] if len(codes) >= LEAST_ANCHORED else [])
+    return pa.array(rows, kind)
+
+
+def _by_automaton(keys: DataFrame, bare: DataFrame) -> DataFrame:
+    """(doc_id, key, position) in one pass over the sources for all of at most BLOCK keys."""
+    listed = [r["key"] for r in keys.orderBy("key").collect()]
+    hits = bare.select("doc_id", F.explode(_first_places(listed)("s")).alias("h"))
+    numbered = keys.sparkSession.createDataFrame(list(enumerate(listed)), "quote int, key string")
+    return hits.select("doc_id", "h.quote", "h.position").join(numbered, "quote").select("doc_id", "key", "position")
+
+
+def _by_anchors(keys: DataFrame, bare: DataFrame) -> DataFrame:
+    """(doc_id, key, position) by an equi-join on anchors and a comparison; keys of LEAST_ANCHORED characters or more."""
+    # the first window of a key has one least gram, and each source that holds the key keeps it too
+    asked = keys.select("key", F.get(anchors(F.substring("key", 1, LEAST_ANCHORED)), F.lit(0)).alias("a")).select("key", F.col("a.at").alias("off"), F.col("a.gram").alias("gram"))
+    kept = bare.select("doc_id", F.explode(anchors("s")).alias("a")).select("doc_id", F.col("a.at").alias("at"), F.col("a.gram").alias("gram"))
+    met = kept.join(asked, "gram").select("doc_id", "key", (F.col("at") - F.col("off")).alias("position")).where("position >= 0")
+    there = F.substring(F.col("s"), F.col("position") + 1, F.length("key")) == F.col("key")
+    return met.join(bare, "doc_id").where(there).groupBy("doc_id", "key").agg(F.min("position").alias("position"))
+
+
+def verified(quotes: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
     """(item_id, doc_id, position, n_chars): quotes that stand in a source, white space aside.
 
-    All quotes of a block are looked for in one pass over each source text (Aho-Corasick), so the work grows with
-    the sources and not with quotes times sources. quotes: (item_id, text), read in blocks; sources: (doc_id, text).
-    position is the first place in the source without white space. Quotes under ten characters are not evidence.
+    quotes: (item_id, text); sources: (doc_id, text). position is the first place in the source without white space.
+    Quotes under ten characters are not evidence. Up to ``block`` distinct quotes of BLOCK_CHARS characters together
+    are looked for in one pass over each source text (Aho-Corasick). More meet the sources in one equi-join on
+    anchors; only those too short for an anchor go on by passes, ``block`` at a time.
     """
     keyed = quotes.select("item_id", compact(F.col("text")).alias("key")).where(F.length("key") >= LEAST_KEY)
-    distinct = keyed.select("key").distinct().orderBy("key")
-    out, block = None, []
+    distinct = stored(keyed.select("key").distinct(), "quotes")
     bare = sources.select("doc_id", compact(F.col("text")).alias("s"))
-
-    def search(keys: list[str]) -> DataFrame:
-        hits = bare.select("doc_id", F.explode(_first_places(keys)("s")).alias("h"))
-        listed = sources.sparkSession.createDataFrame(list(enumerate(keys)), "quote int, key string")
-        return hits.select("doc_id", "h.quote", "h.position").join(F.broadcast(listed), "quote").select("doc_id", "key", "position")
-
-    for row in distinct.toLocalIterator():
-        block.append(row["key"])
-        if len(block) == BLOCK:
-            out, block = search(block) if out is None else out.unionByName(search(block)), []
-    if block or out is None:
-        out = search(block) if out is None else out.unionByName(search(block))
-    return keyed.join(out, "key").select("item_id", "doc_id", "position", F.length("key").alias("n_chars"))
+    size = distinct.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("key")), F.lit(0)).alias("chars")).first()
+    if size["n"] <= block and size["chars"] <= BLOCK_CHARS:
+        found = _by_automaton(distinct, bare)
+    else:
+        short = distinct.where(F.length("key") < LEAST_ANCHORED)
+        found = _by_anchors(distinct.where(F.length("key") >= LEAST_ANCHORED), bare)
+        parts = math.ceil(short.count() / block * 1.25)  # hashes fill parts unevenly
+        for part in range(parts):
+            found = found.unionByName(_by_automaton(short.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part), bare))
+    return keyed.join(found, "key").select("item_id", "doc_id", "position", F.length("key").alias("n_chars"))
 
 
 def budgeted(rows: DataFrame, group: str, order: str, text: str, target: int) -> DataFrame:

@@ -164,6 +164,21 @@ def test_pages_join_sentences_and_keep_notes(spark):
     assert notes.joined("방앗", "간은", "물레방앗간은") == "방앗간은" and notes.joined("방앗", "간은") == "방앗 간은"
 
 
+def test_quotes_by_anchors_equal_those_by_automaton(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcde \n") for _ in range(n))
+    sources = [(i, text(rng.choice([0, 20, 300, 2000]))) for i in range(60)] + [(100, None), (101, "é日😀" * 40)]
+    quoted = [(i, s[a : a + n]) for i, (_, s) in enumerate(sources) if s for a in (0, 7, 100) for n in (12, 30, 40, 200) if len(s) >= a + n]
+    quoted += [(900, "nowhere in any of the sources at all"), (901, None), (902, "short"), (903, "é日😀" * 9)]
+    q = spark.createDataFrame(quoted, "item_id long, text string")
+    s = spark.createDataFrame(sources, "doc_id long, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(quotes.verified(q, s))
+    assert want and rows(quotes.verified(q, s, block=3)) == want
+    plain = sorted((i, d, bare(t).find(bare(x)), len(bare(x))) for i, x in quoted if x and len(bare(x)) >= 10 for d, t in sources if t and bare(x) in bare(t))
+    assert want == plain
+
+
 def test_glossary_forms(spark):
     got = {(r["term"], r["key"]): r["canonical"] for r in glossary.groups(glossary.keyword_pairs(fixtures.frame(spark, "keyword_notes"))).collect()}
     assert got["river", "flumen"] == "flumen" or got["river", "flumen"] == "flu-men"
