@@ -165,9 +165,9 @@ def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
 
 
-def near_edges(distinct: DataFrame, n: int) -> DataFrame:
+def near_edges(distinct: DataFrame, n: int, sets: list[tuple[int, ...]] | None = None) -> DataFrame:
     """Edges (u, v), u < v, that connect all fingerprints within BITS bits. ``distinct`` has (fp, rep), stored."""
-    sets = position_sets(n)
+    sets = sets or position_sets(n)
 
     def list_key(at: int, positions: tuple[int, ...]) -> Column:
         mask = sum(0xFF << (8 * p) for p in positions)

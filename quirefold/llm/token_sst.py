@@ -58,7 +58,7 @@ def file_of(path: str) -> tuple[pafs.FileSystem, str]:
 
 def key_of(doc_id: int | None, again: int = 0) -> bytes:
     head = b"\0" + bytes(8) if doc_id is None else b"\1" + struct.pack(">Q", doc_id + (1 << 63))
-    return head + struct.pack(">I", again)
+    return head + struct.pack(">Q", again)
 
 
 def id_of(key: bytes) -> int | None:
@@ -273,16 +273,14 @@ MANIFEST = "path string, first_key binary, entries long, tokens long"
 
 def _write_shard(folder: str, tokenizer_file: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, first, last, again = _encoder(tokenizer_file, end_id), None, b"", (), 0
+        encoder, writer, first = _encoder(tokenizer_file, end_id), None, b""
         name = f"{uuid.uuid4().hex}.sst"
         fs, base = file_of(folder)
         sink = None
 
-        def put(keys: list[int | None], texts: list[str]) -> None:
-            nonlocal writer, sink, first, last, again
-            for doc_id, ids in zip(keys, encoder.encode(texts)):
-                again = again + 1 if last == (doc_id,) else 0
-                last = (doc_id,)
+        def put(keys: list[tuple[int | None, int]], texts: list[str]) -> None:
+            nonlocal writer, sink, first
+            for (doc_id, again), ids in zip(keys, encoder.encode(texts)):
                 key = key_of(doc_id, again)
                 if writer is None:
                     fs.create_dir(base, recursive=True)
@@ -291,9 +289,9 @@ def _write_shard(folder: str, tokenizer_file: str, end_id: int):
                 writer.add(key, ids)
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            texts = batch.column(2).to_pylist()
             held, start = 0, 0
-            texts = texts.to_pylist()
             for i, t in enumerate(texts):
                 texts[i] = t = t or ""
                 held += len(t)
@@ -327,11 +325,29 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int, key: str = "
     narrow = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     size = narrow.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
-    # the range bounds are drawn by key alone, so all rows of one key share a shard
-    ordered = narrow.repartitionByRange(shards, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
+    # rows are bounded by key and number, so the rows of one key may fill several shards
+    at = [F.col("key").asc_nulls_first(), F.col("again")]
+    ordered = _counted(narrow).repartitionByRange(shards, *at).sortWithinPartitions(*at)
     return common.stored(ordered.mapInArrow(_write_shard(folder, tokenizer_file, end_id), MANIFEST), "sst-manifest")
 
 
+def _counted(narrow: DataFrame) -> DataFrame:
+    """(key, again, text): again numbers the rows of a key from 0, in the order of their texts. Only repeated keys are sorted for it."""
+    counted = narrow.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("key").alias("_key"))
+    repeated = common.stored(counted, "repeated-keys")
+    n = repeated.count()
+    if not n:
+        return narrow.select("key", F.lit(0).cast("long").alias("again"), "text")
+    same = F.col("key").eqNullSafe(F.col("_key"))
+    small = common.maybe_broadcast(repeated, n, 1_000_000)
+    rows = common.stored(narrow.join(small, same, "left_semi"), "repeated-rows")
+    numbered, _ = common.numbered(rows, ["key", "text"], rows.count())
+    numbered = common.stored(numbered, "repeated-numbered")
+    firsts = common.stored(numbered.groupBy(F.col("key").alias("_key")).agg(F.min("row_no").alias("_first")), "repeated-first")
+    again = numbered.join(common.maybe_broadcast(firsts, n), same).select("key", (F.col("row_no") - F.col("_first")).alias("again"), "text")
+    return narrow.join(small, same, "left_anti").select("key", F.lit(0).cast("long").alias("again"), "text").unionByName(again)
+
+
 def _read_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():

@@ -55,8 +55,8 @@ def test_the_count_filter_is_the_tally_of_bytes():
     assert B._linked(np.array(diffs, np.uint64)).tolist() == want
 
 
-@pytest.mark.parametrize("cap", [8192, 6])
-def test_edges_connect_dense_groups_whatever_the_list_cap(spark, monkeypatch, cap):
+@pytest.mark.parametrize("cap, n", [(8192, 1), (6, 1), (8192, 1 << 30), (6, 1 << 30), (8192, 1 << 40)])
+def test_edges_connect_dense_groups_whatever_the_list_cap_and_sets(spark, monkeypatch, cap, n):
     monkeypatch.setattr(B, "LIST_CAP", cap)
     rng = random.Random(cap)
     fps = set()
@@ -68,7 +68,7 @@ def test_edges_connect_dense_groups_whatever_the_list_cap(spark, monkeypatch, ca
     keyed = list(enumerate(sorted(fps)))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     distinct = spark.createDataFrame([(signed(f), k) for k, f in keyed], "fp long, rep long")
-    roots = {r["node"]: r["root"] for r in B.components(B.near_edges(distinct, len(keyed))).collect()}
+    roots = {r["node"]: r["root"] for r in B.components(B.near_edges(distinct, len(keyed), B.position_sets(n))).collect()}
     assert {k: roots.get(k, k) for k, _ in keyed} == _components(keyed)
 
 

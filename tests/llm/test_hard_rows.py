@@ -38,6 +38,19 @@ def test_token_shards_leave_clashing_columns_out_and_take_long_texts(spark):
         start += len(ids)
 
 
+def test_one_key_may_fill_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(token_sst, "SHARD_BYTES", 400)
+    rows = [(7, f"text number {n:03d} of the key") for n in range(60)] + [(None, "no key"), (None, "no key"), (3, "before"), (9, "behind")]
+    manifest = token_sst.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), BPE, end_id=2)
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in token_sst.read_digests(spark, manifest).collect())
+    assert manifest.count() > 3 and max(r["entries"] for r in manifest.collect()) < 40
+    assert [k for _, k, _ in got] == [None, None, 3, *[7] * 60, 9]
+    assert [s for s, *_ in got] == [sum(n for *_, n in got[:i]) for i in range(len(got))]
+    plain = token_sst.WordEncoder(BPE, 2)
+    assert token_sst.look_up(manifest, 7) == np.frombuffer(plain.encode([rows[0][1]])[0], plain.kind).tolist()
+    assert token_sst.look_up(manifest, 9) is not None and token_sst.look_up(manifest, 8) is None
+
+
 def test_another_vocabulary_goes_to_the_library_whole():
     from tokenizers import Tokenizer
 
