@@ -265,7 +265,8 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """
     found = common.stored(near_duplicates(docs.select(key, text), key, text), "found")
     gone = common.stored(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct(), "gone")
-    kept = docs.join(common.maybe_broadcast(gone, gone.count(), 1_000_000), F.col(key) == F.col("_gone"), "left_anti")
+    small = common.maybe_broadcast(gone, gone.count(), 1_000_000)
+    kept = common.packed(docs, key).join(small, F.col(key) == F.col("_gone"), "left_anti")
     if found.groupBy(key).count().where(f"count > 1 and `{key}` is not null").limit(1).count():
         kept = kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
-    return kept
+    return kept.select("_doc.*")

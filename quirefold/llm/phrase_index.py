@@ -214,6 +214,7 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     A stage goes further than ``contaminated`` does: a hit is a whole item window, so it is benchmark text however
     long the document around it is. Near matches alone remove nothing.
     """
-    bad = common.stored(verified(docs, items).where("n_hit > 0").select("_key", "_h"), "contaminated")
-    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(common.maybe_broadcast(bad, bad.count(), 1_000_000), docs["doc_id"].eqNullSafe(F.col("_key")) & (own == F.col("_h")), "left_anti")
+    bad = common.stored(verified(docs.select("doc_id", "text"), items).where("n_hit > 0").select("_key", "_h"), "contaminated")
+    rows = common.packed(docs, "doc_id", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("_key")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_h"))
+    return rows.join(common.maybe_broadcast(bad, bad.count(), 1_000_000), same, "left_anti").select("_doc.*")

@@ -56,3 +56,18 @@ def test_stages_take_an_empty_table(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         docs = common.stored(stage(spark, docs, sf_dir), f"empty-{name}")
         assert docs.count() == 0
+
+
+def test_stages_take_hard_rows_and_clashing_columns(spark, sf_dir):
+    item = common.table(spark, sf_dir, "benchmark").first()["text"]
+    words = lambda tag: " ".join(f"{tag}{k} goes on." for k in range(30))
+    rows = [(1, words("a")), (1, words("a")), (2, words("a")), (None, words("b")), (3, None), (4, ""), (5, "w " * 200_000), (6, f"{words('c')} {item}"), (7, words("d"))]
+    names = ["_key", "_h", "_gone", "_doc", "_m", "_score", "fp", "_words", "n_words", "_t", "_k"]
+    docs = spark.createDataFrame([(*r, "en", *range(len(names))) for r in rows], "doc_id long, text string, lang string, " + ", ".join(f"{n} int" for n in names))
+    left = {name: sorted((r["doc_id"] for r in common.stored(stage(spark, docs, sf_dir), name).collect()), key=repr) for name, stage in corpus_pipeline.STAGES}
+    assert left["quality_rules"] == [1, 1, 2, 6, 7, None]
+    assert left["simhash"] == [1, 3, 5, 6, 7, None]
+    assert left["decontamination"] == [1, 1, 2, 3, 4, 5, 7, None]
+    assert left["sentencepiece"] == [1, 1, 2, 3, 4, 5, 6, 7, None]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf_dir).columns == docs.columns
