@@ -1,13 +1,15 @@
 """What must never change: characters, order, counts; and small cases with known answers."""
 
+import gc
 import random
 import re
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.functions import bibliographic, redact, scripts
+from quirefold.functions import arrow, bibliographic, redact, scripts
 from quirefold.operators import chapters, glossary, layout, lines, notes, quality, queue, quotes, readings, segmentation, units
 from quirefold.plans import books as book_plans
 from quirefold.sources import fixtures, office
@@ -64,6 +66,33 @@ def test_plan_offsets_reproduce_the_text(spark):
     assert [r["page"] for r in rows] == sorted(r["page"] for r in rows)
 
 
+def test_a_plan_holds_few_units_at_a_time(spark):
+    def counted(text):
+        held = sum("excluded" in o for o in gc.get_objects() if type(o) is dict)
+        assert held < 2000, f"{held} units are held at once"
+        return units.paragraphs(text)
+
+    text = "\n\n".join(f"# Head {n}\n\nThe text under it." for n in range(50))
+    docs = spark.createDataFrame([(n, text) for n in range(60)] + [(60, None), (None, "One.\fTwo.")], "doc_id long, text string").coalesce(1)
+    rows = units.translation_plan(docs, splitter=counted).collect()
+    assert [(r["doc_id"], r["n"]) for r in rows] == [(d, n) for d in range(60) for n in range(100)] + [(None, n) for n in range(3)]
+    assert [r["unit"] for r in rows if r["doc_id"] == 59] == text.split("\n\n") and [r["unit"] for r in rows[-3:]] == ["One.", units.PAGE_TOKEN, "Two."]
+
+
+def test_results_of_few_texts_are_python_objects_at_a_time():
+    class Held(list):
+        pass
+
+    def made(text):
+        assert sum(isinstance(o, Held) for o in gc.get_objects()) <= 10
+        return Held([text, text])
+
+    texts = pa.array([*("abcdefghij" for _ in range(95)), None, ""])
+    got = arrow.mapped(texts, made, pa.list_(pa.string()), most=100)
+    assert got.to_pylist() == [[t or "", t or ""] for t in texts.to_pylist()]
+    assert arrow.mapped(pa.array([], pa.string()), made, pa.list_(pa.string())).to_pylist() == []
+
+
 def test_sentence_ends_pass_over_abbreviations():
     text = "Dr. A. B. Miller came, cf. p. 3. He left.[12] Why? Yes!”"
     assert [text[:e].split()[-1] for e in units.sentence_ends(text)] == ["3.", "left.[12]", "Why?", "Yes!”"]
