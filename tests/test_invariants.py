@@ -3,8 +3,11 @@
 import gc
 import random
 import re
+import string
 import struct
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -208,6 +211,42 @@ def test_quotes_by_anchors_equal_those_by_automaton(spark):
     assert want == plain
 
 
+def test_searches_for_quotes_hold_few_objects_at_a_time(monkeypatch):
+    rng = random.Random(11)
+    keys = ["".join(rng.choices(string.ascii_lowercase, k=10)) for _ in range(400)]
+    texts = pa.array(["".join(rng.sample(keys, 20)) for _ in range(20_000)])
+    for search in (quotes._first_places(keys).func, quotes.anchors.func):
+        search(texts[:10])
+        tracemalloc.start()
+        got = search(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(got) == 20_000 and len(got.values) >= 100_000 and peak < 40e6, peak
+    monkeypatch.setattr(quotes, "STRETCH", 7)
+    assert quotes.anchors.func(texts[:200]).to_pylist() == got[:200].to_pylist()
+
+
+def test_a_stretch_of_windows_selects_what_all_do(monkeypatch):
+    codes = np.frombuffer("the wheel of the old mill turned by the river, day and night ".encode("utf-32-le") * 9, np.uint32).astype(np.uint64)
+    at, grams = quotes._selected(codes)
+    monkeypatch.setattr(quotes, "STRETCH", 3)
+    assert [x.tolist() for x in quotes._selected(codes)] == [at.tolist(), grams.tolist()] and len(at) > 20
+
+
+def test_automata_of_a_worker_are_small_and_one_at_a_time(monkeypatch):
+    rng = random.Random(12)
+    keys = ["".join(rng.choices(string.ascii_lowercase, k=400)) for _ in range(500)]
+    size = quotes._automaton(keys).get_stats()["total_size"]
+    assert size / 200_000 * quotes.BLOCK_CHARS * 4 < 1e9  # four workers of an executor
+
+    def new(make=quotes.ahocorasick.Automaton):
+        assert not quotes._AUTOMATA
+        return make()
+
+    monkeypatch.setattr(quotes.ahocorasick, "Automaton", new)
+    assert quotes._automaton(keys[:9]).exists(keys[0]) and not quotes._automaton(keys[9:]).exists(keys[0])
+
+
 def test_glossary_forms(spark):
     got = {(r["term"], r["key"]): r["canonical"] for r in glossary.groups(glossary.keyword_pairs(fixtures.frame(spark, "keyword_notes"))).collect()}
     assert got["river", "flumen"] == "flumen" or got["river", "flumen"] == "flu-men"
